@@ -68,12 +68,13 @@ INSTANCE_POSITION = 10
 # --- fixed values: cumulative Poisson(1) probabilities for counts 0..5 ------------------------------
 POISSON_CUTS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
 
-# --- fixed values: regex themes of the invented-prose tables (theme, pattern, on lower-cased text) --
+# --- fixed values: themes of the invented-prose tables: texts to look for (any of them), or a pattern
+# --- and whether the text is lower-cased first
 FIXTURE_THEMES = (
-    ("T1_TABLE", r"[|]", False),
-    ("T2_SHOUTING", r"!!", False),
-    ("T3_INSULT", r"worthless|stupid|idiot|moron", True),
-    ("T4_LICENSE", r"licen[sc]e|copyright", True),
-    ("T5_SYMBOL_NOISE", r"[$&%#*]{3}", False),
-    ("T6_NUMBERS", r"[0-9]{3}", False),
+    ("T1_TABLE", ("|",), None, False),
+    ("T2_SHOUTING", ("!!",), None, False),
+    ("T3_INSULT", ("worthless", "stupid", "idiot", "moron"), None, True),
+    ("T4_LICENSE", ("license", "licence", "copyright"), None, True),
+    ("T5_SYMBOL_NOISE", (), r"[$&%#*]{3}", False),
+    ("T6_NUMBERS", (), r"[0-9]{3}", False),
 )

@@ -27,11 +27,12 @@ def recorded_labeller(answers: DataFrame, key: str = "row_key") -> TextLabeller:
     return lambda rows: rows.join(answers.select(key, "response"), key, "left")
 
 
-def codebook_labeller(flags: Callable[[Column], Mapping[str, Column]]) -> TextLabeller:
-    """Answers written by regular expressions over the text; stays inside the JVM."""
+def codebook_labeller(flags: Callable[[Column, Column], Mapping[str, Column]]) -> TextLabeller:
+    """Answers found by searching the text and its lower-case form; stays inside the JVM."""
     def label(rows: DataFrame) -> DataFrame:
-        found = [c.alias(n) for n, c in flags(F.col("text")).items()]
-        return rows.withColumn("response", F.to_json(F.struct(*found)))
+        lowered = rows.withColumn("_lowered", F.lower("text"))
+        found = [c.alias(n) for n, c in flags(F.col("text"), F.col("_lowered")).items()]
+        return lowered.withColumn("response", F.to_json(F.struct(*found))).drop("_lowered")
     return label
 
 

@@ -20,9 +20,12 @@ def sql_uniform(text: str) -> str:
 
 
 def _sql_themes() -> str:
+    """The same themes as regular expressions: an independent way to the same flags."""
+    def pattern(needles, regex):
+        return regex or "|".join(re.escape(n) for n in needles)
     return ",\n".join(
-        f"case when regexp_matches({'lower(d.text)' if lower else 'd.text'}, '{p}') then 1 else 0 end as {n}"
-        for n, p, lower in FIXTURE_THEMES)
+        f"case when regexp_matches({'lower(d.text)' if lower else 'd.text'}, '{pattern(needles, regex)}') then 1 else 0 end as {n}"
+        for n, needles, regex, lower in FIXTURE_THEMES)
 
 
 SQL_POISSON = "case " + " ".join(f"when u < {c:.8f} then {i}" for i, c in enumerate(POISSON_CUTS)) + " else 6 end"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswork.fixed_values import FIXTURE_THEMES
 
-THEMES = [name for name, _, _ in FIXTURE_THEMES]
+THEMES = [theme[0] for theme in FIXTURE_THEMES]
 CELLS = ["T1_TABLE", "T2_SHOUTING", "T3_INSULT", "T5_SYMBOL_NOISE"]
 
 
@@ -17,11 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def theme_flags(text: Column) -> dict[str, Column]:
-    """0/1 per theme from regular expressions over the whole text."""
-    lowered = F.lower(text)
-    return {name: (lowered if lower else text).rlike(pattern).cast("int")
-            for name, pattern, lower in FIXTURE_THEMES}
+def theme_flags(text: Column, lowered: Column) -> dict[str, Column]:
+    """0/1 per theme over the whole text. Plain texts are searched as bytes; only real patterns pay for
+    a regular expression."""
+    out = {}
+    for name, needles, pattern, lower in FIXTURE_THEMES:
+        where = lowered if lower else text
+        hit = where.rlike(pattern) if pattern else None
+        for needle in needles:
+            test = F.contains(where, F.lit(needle))
+            hit = test if hit is None else hit | test
+        out[name] = hit.cast("int")
+    return out
 
 
 def reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
@@ -30,7 +37,7 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFr
     Themes are computed below the join, so only small columns are shuffled when the label table is
     too big to broadcast; the text travels only if asked for.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumn("_lowered", F.lower("text"))
     coded = docs.select(
         F.col("doc_id").alias("row_key"),
         F.col("source").alias("title"),
@@ -38,7 +45,7 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFr
         F.col("lang").alias("division"),
         F.col("n_chars").cast("double").alias("n_chars"),
         F.when(F.col("doc_id") % 13 != 0, (F.col("n_chars") % 100).cast("double")).alias("age"),
-        *[flag.alias(name) for name, flag in theme_flags(F.col("text")).items()],
+        *[flag.alias(name) for name, flag in theme_flags(F.col("text"), F.col("_lowered")).items()],
     )
     labels = table(spark, sf_dir, "labels")
     joined = coded.join(labels, F.col("row_key") == F.col("doc_id"), "left")
