@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from glosswork.functions.text import (
     is_empty_review, parsed_answer, prompt, review_text, theme_columns,
 )
 from glosswork.operators.features import add_missing_columns
+from glosswork.session import ship_by_value
 
 
 class TextLabeller(Protocol):
@@ -36,6 +38,31 @@ def codebook_labeller(flags: Callable[[Column, Column], Mapping[str, Column]]) -
     return label
 
 
+def function_labeller(connect: Callable[[], Callable[[str], str]]) -> TextLabeller:
+    """Answers from a Python function of the prompt, such as a client of a model service.
+
+    ``connect`` runs once per task and returns the function. A call that raises leaves that row's
+    answer null; the other rows are not affected.
+    """
+    def label(rows: DataFrame) -> DataFrame:
+        kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask = connect()
+            for batch in batches:
+                yield batch.assign(response=[answer_or_none(ask, p) for p in batch["prompt"]])
+
+        return rows.mapInPandas(run, ", ".join([*kept, "response string"]))
+    return label
+
+
+def answer_or_none(ask: Callable[[str], str], request: str) -> str | None:
+    try:
+        return ask(request)
+    except Exception:  # noqa: BLE001  any failed call is recorded as a missing answer
+        return None
+
+
 def labelling_input(df: DataFrame, title: str = "title", review: str = "review_text",
                     codebook: Mapping[str, str] = CODEBOOK, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Adds ``text`` and ``prompt``; a column the table does not have counts as missing."""
@@ -80,3 +107,6 @@ def pending_rows(df: DataFrame, done: DataFrame, key: str = "row_key",
     in ``retry`` count as not done."""
     finished = done.where(~F.col("status").isin(*retry)) if retry else done
     return df.join(finished.select(key), key, "left_anti")
+
+
+ship_by_value(__name__)

@@ -15,7 +15,7 @@ from glosswork.functions.coerce import nan_to_null, to_number, word_flag
 from glosswork.functions.names import is_derived_name, is_theme_name
 from glosswork.functions.numeric import rounded
 from glosswork.operators.percentiles import exact_percentiles, medians
-from glosswork.session import local_table
+from glosswork.session import local_table, materialize
 from glosswork.sources.csv import column, require_columns
 
 MISSING_CATEGORY = "__missing__"
@@ -218,10 +218,12 @@ def _long_categories(df: DataFrame, names: Sequence[str], keep: Sequence[str] =
 
 
 def category_vocabulary(train: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(feature, category, n)`` of the training rows; equal values are combined before the shuffle,
-    so a category that holds a third of all rows costs no more than a rare one."""
-    return _long_categories(train, names).groupBy("feature", "category").agg(
-        F.count(F.lit(1)).alias("n"))
+    """``(feature, category, n)`` of the training rows, as a written table.
+
+    Equal values are combined before the shuffle, so a category that holds a third of all rows costs
+    no more than a rare one. Being written, its size is known to whatever joins it later."""
+    return materialize(_long_categories(train, names).groupBy("feature", "category").agg(
+        F.count(F.lit(1)).alias("n")), "vocabulary")
 
 
 def indexed_vocabulary(vocabulary: DataFrame) -> DataFrame:
@@ -232,8 +234,8 @@ def indexed_vocabulary(vocabulary: DataFrame) -> DataFrame:
 
 def one_hot_long(df: DataFrame, vocabulary: DataFrame, names: Sequence[str], key: str = "row_key") -> DataFrame:
     """The ones of the indicator matrix as rows. A category outside the vocabulary has no row: all
-    its indicators are 0. The optimizer broadcasts the vocabulary only while it is small; a larger
-    one is joined by shuffle, where adaptive execution splits a hot category."""
+    its indicators are 0. A written vocabulary is broadcast only while it is small; a larger one is
+    joined by shuffle, where adaptive execution splits a hot category."""
     long = _long_categories(df, names, [key])
     return long.join(vocabulary, ["feature", "category"]).select(key, "feature", "category", F.lit(1.0).alias("value"))
 

@@ -41,7 +41,7 @@ def collect_background(background: DataFrame, features: Sequence[str]) -> np.nda
 def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
                  score: Callable[[DataFrame], DataFrame], k: int, key: str = "row_key",
                  seed: object = SEED) -> DataFrame:
-    """``(row_key, phis, base_value, prediction)`` with any scorer that works on DataFrames.
+    """``(row_key, xs, phis, base_value, prediction)`` with any scorer that works on DataFrames.
 
     Rows are hashed by key first, so both groupings that follow find their rows in place, and the
     average over the background is taken before anything else moves.
@@ -57,10 +57,10 @@ def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
         turn = F.array_position("_order", i) - 1
         return F.when(F.col("_s") <= m, turn < F.col("_s")).otherwise(turn >= 2 * m - F.col("_s"))
 
-    mixed = pairs.select(key, "_s", "_order", *[
+    mixed = pairs.select(key, "_x", "_s", "_order", *[
         F.when(from_row(i), F.col("_x")[i]).otherwise(F.col("_b")[i]).alias(f) for i, f in enumerate(features)])
-    means = (score(mixed).groupBy(key, "_s", "_order").agg(F.avg(member_mean(F.col(PREDS), k)).alias("_v"))
-             .groupBy(key, "_order").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_v")))
+    means = (score(mixed).groupBy(key, "_x", "_s", "_order").agg(F.avg(member_mean(F.col(PREDS), k)).alias("_v"))
+             .groupBy(key, "_x", "_order").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_v")))
     v = lambda s: F.element_at("_v", s)
 
     def back(t: Column) -> Column:
@@ -70,7 +70,7 @@ def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
     for i in range(m):
         turn = (F.array_position("_order", i) - 1).cast("int")
         phis.append((v(turn + 1) - v(turn) + back(m - turn) - back(m - turn - 1)) / 2)
-    return means.select(key, F.array(*phis).alias("phis"), v(F.lit(0)).alias("base_value"),
+    return means.select(key, F.col("_x").alias("xs"), F.array(*phis).alias("phis"), v(F.lit(0)).alias("base_value"),
                         v(F.lit(m)).alias("prediction"))
 
 
@@ -105,12 +105,12 @@ def shap_in_batches(df: DataFrame, background: np.ndarray, features: Sequence[st
                 rows = batch.iloc[at:at + step]
                 x = rows.iloc[:, 2:].to_numpy(float)
                 phi, v = shap_block(x, np.stack(rows["_order"].to_list()), sample, model)
-                yield pd.DataFrame({key: rows[key].to_numpy(), "phis": list(phi),
+                yield pd.DataFrame({key: rows[key].to_numpy(), "xs": list(x), "phis": list(phi),
                                     "base_value": v[:, 0], "prediction": v[:, m]})
 
     rows = df.select(key, feature_order(features, key, seed).alias("_order"),
                      *[column(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    return rows.mapInPandas(run, f"`{key}` {key_type}, phis array<double>, base_value double, prediction double")
+    return rows.mapInPandas(run, f"`{key}` {key_type}, xs array<double>, phis array<double>, base_value double, prediction double")
 
 
 def long_attributions(explained: DataFrame, features: Sequence[str], key: str = "row_key") -> DataFrame:
@@ -120,13 +120,11 @@ def long_attributions(explained: DataFrame, features: Sequence[str], key: str =
     return explained.select(key, F.inline(pairs))
 
 
-def beeswarm_points(explained: DataFrame, values: DataFrame, features: Sequence[str],
-                    key: str = "row_key") -> DataFrame:
-    """``(row_key, feature, value, phi)`` of all explained rows."""
-    joined = explained.join(values.select(key, *[column(f) for f in features]), key)
-    triples = F.array(*[F.struct(F.lit(f).alias("feature"), column(f).cast("double").alias("value"),
+def beeswarm_points(explained: DataFrame, features: Sequence[str], key: str = "row_key") -> DataFrame:
+    """``(row_key, feature, value, phi)`` of all explained rows; the values travel with them."""
+    triples = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("xs")[i].alias("value"),
                                  F.col("phis")[i].alias("phi")) for i, f in enumerate(features)])
-    return joined.select(key, F.inline(triples))
+    return explained.select(key, F.inline(triples))
 
 
 def waterfall_steps(explained: DataFrame, features: Sequence[str], key: str = "row_key",

@@ -11,7 +11,7 @@ from glosswork.functions.numeric import rounded
 from glosswork.operators import features as feat
 from glosswork.operators.split import first_rows, threshold_split
 from glosswork.plans.registry import query
-from glosswork.session import scratch_path
+from glosswork.session import materialize, scratch_path
 from glosswork.sources.csv import clear_missing, read_csv, read_csv_tolerant, rows_at
 from glosswork.sources.sinks import audit_row, write_quoted_csv
 from glosswork.sources.tables import THEMES, odd_texts, rated_reviews, reviews
@@ -207,7 +207,8 @@ select position, row_key, rating, n_chars, split from (
 where position in (0, {INSTANCE_POSITION}, total - 1)""")
 def row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by position after the null-target filter, the last one by clamping a far position."""
-    df = threshold_split(rated_reviews(spark, sf_dir))
+    df = materialize(threshold_split(rated_reviews(spark, sf_dir)).select(
+        "row_key", "rating", "n_chars", "split"), "coded")
     return rows_at(df, [0, INSTANCE_POSITION, 1 << 62], "row_key", clamp=True).select(
         "position", "row_key", "rating", "n_chars", "split")
 
@@ -215,7 +216,7 @@ def row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("median_impute", """
 select row_key, coalesce(r.age, m.age) as age, coalesce(r.n_chars, m.n_chars) as n_chars from rated r cross join medians m""")
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rated_reviews(spark, sf_dir)
+    df = materialize(rated_reviews(spark, sf_dir).select("row_key", "age", "n_chars"), "coded")
     return feat.Imputer.fit(df, ["age", "n_chars"]).transform(df).select("row_key", "age", "n_chars")
 
 

@@ -17,9 +17,8 @@ from glosswork.operators import lime, shap
 from glosswork.operators import split as sp
 from glosswork.operators.neural import SETUPS, NetMembers, add_indicators
 from glosswork.operators.percentiles import rounded_columns
-from glosswork.plans.modelling import K, split_rated, split_reviews, train_part
+from glosswork.plans.modelling import K, coded_rated, train_part
 from glosswork.plans.registry import part, query, sql_uniform
-from glosswork.session import materialize
 from glosswork.sources.tables import CELLS, THEMES
 
 LIME_FEATURES = ["n_chars", *CELLS]
@@ -30,7 +29,7 @@ def _test_part(df: DataFrame) -> DataFrame:
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(split_rated(spark, sf_dir).select("row_key", "split", "rating", "n_chars", "age", *THEMES), "coded")
+    return coded_rated(spark, sf_dir, "n_chars", "age", *THEMES)
 
 
 # ---- SHAP of the cell-mean ensemble --------------------------------------------------------------------------
@@ -68,12 +67,12 @@ join state_means vp on vp.row_key = o.row_key and vp.s = {_M}""")
 
 
 def explained_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """SHAP values of the cell-mean ensemble for every rated test row, and those rows."""
+    """SHAP values of the cell-mean ensemble for every rated test row, and the coded rows."""
     coded = _coded(spark, sf_dir)
     train, test = train_part(coded), _test_part(coded)
     model = ens.CellMeans.fit(train, CELLS, "rating")
     background = shap.collect_background(sp.background_sample(train, BACKGROUND_ROWS), CELLS)
-    return shap.shap_by_join(test, background, CELLS, model.score, K), test
+    return shap.shap_by_join(test, background, CELLS, model.score, K), coded
 
 
 @query("shap_values_cellmean", """
@@ -96,8 +95,8 @@ select p.row_key, feature, cast(case feature when 'T1_TABLE' then T1_TABLE when
   when 'T3_INSULT' then T3_INSULT else T5_SYMBOL_NOISE end as double) as value, round(phi, 6) + 0.0 as phi
 from shap_phi p join rated r using (row_key)""")
 def shap_beeswarm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    explained, test = explained_cells(spark, sf_dir)
-    return rounded_columns(shap.beeswarm_points(explained, test, CELLS), ["phi"])
+    explained, _ = explained_cells(spark, sf_dir)
+    return rounded_columns(shap.beeswarm_points(explained, CELLS), ["phi"])
 
 
 @query("shap_waterfall", """
@@ -165,7 +164,7 @@ def lime_setup(spark: SparkSession, sf_dir: str):
 @query("lime_bins", """
 select feature, bin, n, round(mean, 6) + 0.0 as mean, case when bin > 0 then edges[bin] end as above, edges[bin + 1] as up_to from bin_stats""")
 def lime_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = train_part(split_rated(spark, sf_dir))
+    train = train_part(_coded(spark, sf_dir))
     return rounded_columns(lime.QuartileBins.fit(train, _F).table(spark), ["mean"])
 
 
@@ -214,7 +213,7 @@ select row_key, rule, coalesce((select n.feature from lime_edges n where contain
   order by length(n.feature) desc limit 1), rule) as feature from rule_rows""")
 def rule_to_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule of every rated row and feature, traced back to the feature by its text."""
-    df = split_rated(spark, sf_dir)
+    df = _coded(spark, sf_dir)
     bins = lime.QuartileBins.fit(train_part(df), _F)
     rules = df.select("row_key", F.explode(F.array(*[bins.rule(i) for i in range(len(_F))])).alias("rule"))
     return rules.select("row_key", "rule", rule_feature(F.col("rule"), _F, _F).alias("feature"))
@@ -229,8 +228,8 @@ join rule_rows r on r.row_key = p.row_key and r.feature = p.feature
 join row_bins b on b.row_key = p.row_key and b.f = r.f""")
 def explanation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature, value and contribution lines of every rated test row, from its SHAP values."""
-    explained, test = explained_cells(spark, sf_dir)
-    bins = lime.QuartileBins.fit(train_part(split_rated(spark, sf_dir)), CELLS)
+    explained, coded = explained_cells(spark, sf_dir)
+    bins, test = lime.QuartileBins.fit(train_part(coded), CELLS), _test_part(coded)
     quiet = F.transform("phis", lambda p: F.when(F.abs(p) < 1e-12, 0.0).otherwise(p))
     rows = lime.with_rules(test.join(explained.withColumn("phis", quiet), "row_key"), bins, "phis")
     table = lime.explanation_table(rows, CELLS, [f"llm_{c}" for c in CELLS], integers=CELLS)
@@ -289,8 +288,7 @@ def ensemble_score_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_compare_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both experiments on one split: plain columns, then plain columns and themes, each as a neural
     ensemble with scaled numbers and indicator columns."""
-    rated = split_rated(spark, sf_dir).select("row_key", "split", "rating", "n_chars", "age", "division", *THEMES)
-    df = materialize(rated, "coded")
+    df = coded_rated(spark, sf_dir, "n_chars", "age", "division", *THEMES)
     df = feat.Imputer.fit(train_part(df), ["n_chars", "age"]).transform(df)
     wide, ones = add_indicators(df, feat.category_vocabulary(train_part(df), ["division"]))
     wide = feat.zero_filled(wide, THEMES)
@@ -313,7 +311,7 @@ def shap_values_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, df = fitted_net(spark, sf_dir, "bootstrap", 60)
     background = shap.collect_background(sp.background_sample(train_part(df), BACKGROUND_ROWS), _INPUTS)
     explained = shap.shap_in_batches(_test_part(df), background, _INPUTS, model.predict)
-    return shap.beeswarm_points(explained, df, _INPUTS)
+    return shap.beeswarm_points(explained, _INPUTS)
 
 
 @query("lime_explain_mlp")

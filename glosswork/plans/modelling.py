@@ -31,6 +31,12 @@ def split_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.threshold_split(rated_reviews(spark, sf_dir))
 
 
+def coded_rated(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Rated rows with their part and the named columns, written once: for jobs that read them more
+    than once, so that the texts are read only once."""
+    return materialize(split_rated(spark, sf_dir).select("row_key", "split", "rating", *columns), "coded")
+
+
 def train_part(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train")
 
@@ -47,7 +53,7 @@ select row_key, split, round((n_chars - m_n) / s_n, 9) + 0.0 as n_chars, round((
 from rated cross join row_stats""")
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on the training rows, applied to all."""
-    df = split_rated(spark, sf_dir)
+    df = coded_rated(spark, sf_dir, "n_chars", "T1_TABLE")
     scaler = feat.Scaler.fit(train_part(df), ["n_chars", "T1_TABLE"])
     return rounded_columns(scaler.transform(df).select("row_key", "split", "n_chars", "T1_TABLE"),
                            ["n_chars", "T1_TABLE"], 9)
@@ -78,7 +84,7 @@ select row_key, feature, category, 1.0::double as value from ({_LONG_SQL}) a
 where exists (select 1 from ({_LONG_SQL}) b where b.split = 'train' and b.feature = a.feature and b.category = a.category)""")
 def one_hot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of the training rows as indicators of all rows; unknown ones have none."""
-    df = split_rated(spark, sf_dir)
+    df = coded_rated(spark, sf_dir, *_CATEGORIES)
     return feat.one_hot_long(df, feat.category_vocabulary(train_part(df), _CATEGORIES), _CATEGORIES)
 
 
@@ -113,7 +119,7 @@ select feature, greatest(sum(n / total * ln(n * total / (nx * ny))), 0) as mi fr
 
 def mi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual information of every feature with the rating, imputed first, numbers in deciles."""
-    df = rated_reviews(spark, sf_dir)
+    df = coded_rated(spark, sf_dir, *_NUMBERS, "division", *THEMES)
     df = feat.Imputer.fit(df, _NUMBERS).transform(df)
     edges = feat.quantile_edges(df, _NUMBERS)
     binned = {c: F.col(c) for c in [*THEMES, "division"]} | {c: feat.bin_index(F.col(c), e) for c, e in edges.items()}
@@ -163,7 +169,7 @@ select feature, round(greatest(sum(n / total * ln(n * total / (nx * ny))), 0), 9
     union all select 'balance', cast(len(list_filter(e_b, lambda v: v < balance)) as varchar), rating from o cross join e)
   group by all)) group by feature""")
 def mutual_information_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = priced_orders(spark, sf_dir)
+    df = materialize(priced_orders(spark, sf_dir), "orders")
     edges = feat.quantile_edges(df, ["price", "balance"])
     binned = {c: F.col(c) for c in ("status", "segment")} | {c: feat.bin_index(F.col(c), e) for c, e in edges.items()}
     return rounded_columns(feat.mutual_information(df, binned, F.col("rating")), ["mutual_information"], 9)
@@ -410,7 +416,7 @@ def _experiment_sql(name: str, cells: list[str]) -> str:
        + _experiment_sql("with themes", [*_BASE_CELLS, *CELLS]))
 def experiment_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain columns against plain columns and themes, both on one split."""
-    df = materialize(split_rated(spark, sf_dir).select("row_key", "split", "rating", "division", "T6_NUMBERS", *CELLS), "coded")
+    df = coded_rated(spark, sf_dir, "division", "T6_NUMBERS", *CELLS)
     parts = None
     for name, cells in (("baseline", _BASE_CELLS), ("with themes", [*_BASE_CELLS, *CELLS])):
         model = ens.CellMeans.fit(train_part(df), cells, "rating")
