@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # application -> its temporary folder, local masters only
 
 
 def local_session(cores: int | str = "*", app: str = "glosswork", shuffle_partitions: int = 8,
@@ -44,8 +45,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        path = tempfile.mkdtemp(prefix="glosswork-")
-        spark.conf.set(CHECKPOINT_KEY, path)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="glosswork-")
+        path = _LOCAL[app]
     return path.rstrip("/")
 
 
