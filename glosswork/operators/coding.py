@@ -14,7 +14,6 @@ from glosswork.functions.text import (
     is_empty_review, parsed_answer, prompt, review_text, theme_columns,
 )
 from glosswork.operators.features import add_missing_columns
-from glosswork.session import ship_by_value
 
 
 class TextLabeller(Protocol):
@@ -107,6 +106,3 @@ def pending_rows(df: DataFrame, done: DataFrame, key: str = "row_key",
     in ``retry`` count as not done."""
     finished = done.where(~F.col("status").isin(*retry)) if retry else done
     return df.join(finished.select(key), key, "left_anti")
-
-
-ship_by_value(__name__)

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from glosswork.fixed_values import SEED
 from glosswork.operators.ensemble import PREDS, member_mean
-from glosswork.session import ship_by_value
 from glosswork.sources.csv import column
 
 _ROWS_PER_STEP = 200_000
@@ -95,16 +94,16 @@ def shap_in_batches(df: DataFrame, background: np.ndarray, features: Sequence[st
                     seed: object = SEED) -> DataFrame:
     """The same table with a scorer on number blocks: one pass over the rows, no shuffle at all."""
     m, key_type = len(features), df.schema[key].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((predict, background))
+    shared = df.sparkSession.sparkContext.broadcast(background)
     step = max(1, _ROWS_PER_STEP // (2 * m * max(1, len(background))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, sample = shared.value
+        sample = shared.value
         for batch in batches:
             for at in range(0, len(batch), step):
                 rows = batch.iloc[at:at + step]
                 x = rows.iloc[:, 2:].to_numpy(float)
-                phi, v = shap_block(x, np.stack(rows["_order"].to_list()), sample, model)
+                phi, v = shap_block(x, np.stack(rows["_order"].to_list()), sample, predict)
                 yield pd.DataFrame({key: rows[key].to_numpy(), "xs": list(x), "phis": list(phi),
                                     "base_value": v[:, 0], "prediction": v[:, m]})
 
@@ -144,6 +143,3 @@ def waterfall_steps(explained: DataFrame, features: Sequence[str], key: str = "r
                               phi[i].alias("phi"), level.alias("start"), after.alias("end")))
         level = after
     return ordered.select(key, F.inline(F.array(*steps)))
-
-
-ship_by_value(__name__)

@@ -79,5 +79,7 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def ship_by_value(module_name: str) -> None:
-    """Pickle a module's functions by value, so Python workers need no copy of this package."""
+    """Pickle a module's functions by value, so Python workers need no copy of this package.
+
+    Broadcast variables are always pickled by reference: they must hold plain arrays only."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
