@@ -65,11 +65,12 @@ def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
     def back(t: Column) -> Column:
         return v(F.when(t == 0, F.lit(0)).when(t == m, F.lit(m)).otherwise(t + m))
 
-    phis = []
-    for i in range(m):
+    def phi(i: Column) -> Column:
         turn = (F.array_position("_order", i) - 1).cast("int")
-        phis.append((v(turn + 1) - v(turn) + back(m - turn) - back(m - turn - 1)) / 2)
-    return means.select(key, F.col("_x").alias("xs"), F.array(*phis).alias("phis"), v(F.lit(0)).alias("base_value"),
+        return (v(turn + 1) - v(turn) + back(m - turn) - back(m - turn - 1)) / 2
+
+    phis = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), phi)
+    return means.select(key, F.col("_x").alias("xs"), phis.alias("phis"), v(F.lit(0)).alias("base_value"),
                         v(F.lit(m)).alias("prediction"))
 
 
@@ -92,7 +93,10 @@ def shap_block(x: np.ndarray, order: np.ndarray, background: np.ndarray,
 def shap_in_batches(df: DataFrame, background: np.ndarray, features: Sequence[str],
                     predict: Callable[[np.ndarray], np.ndarray], key: str = "row_key",
                     seed: object = SEED) -> DataFrame:
-    """The same table with a scorer on number blocks: one pass over the rows, no shuffle at all."""
+    """The same table with a scorer on number blocks: one pass over the rows.
+
+    A row costs thousands of predictions, so the rows are first spread evenly over all cores; moving
+    a row once is nothing against that, and no later step shuffles."""
     m, key_type = len(features), df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(background)
     step = max(1, _ROWS_PER_STEP // (2 * m * max(1, len(background))))
@@ -109,7 +113,9 @@ def shap_in_batches(df: DataFrame, background: np.ndarray, features: Sequence[st
 
     rows = df.select(key, feature_order(features, key, seed).alias("_order"),
                      *[column(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    return rows.mapInPandas(run, f"`{key}` {key_type}, xs array<double>, phis array<double>, base_value double, prediction double")
+    session = df.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, key).mapInPandas(run, f"`{key}` {key_type}, xs array<double>, phis array<double>, base_value double, prediction double")
 
 
 def long_attributions(explained: DataFrame, features: Sequence[str], key: str = "row_key") -> DataFrame:
