@@ -10,8 +10,8 @@ from glosswork.fixed_values import FALSE_WORDS, NULL_TOKENS, TRUE_WORDS
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 EDGE_SPACE = rf"^{SPACE}+|{SPACE}+$"
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITE = r"^[+-]?inf(inity)?$"
+NUMBER = rf"^{SPACE}*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?{SPACE}*$"
+INFINITE = rf"(?i)^{SPACE}*[+-]?inf(inity)?{SPACE}*$"
 NOT_NUMBER_TEXT = "target column {0} holds a value that is not a number"
 
 
@@ -20,10 +20,6 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE_SPACE, "")
 
 
-def strip_lower(c: Column) -> Column:
-    return F.lower(strip(c))
-
-
 def clear_null_tokens(c: Column) -> Column:
     """Null for the usual spellings of a missing value in CSV text."""
     return F.when(~c.isin(*NULL_TOKENS), c)
@@ -33,19 +29,23 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _one_of(words: tuple[str, ...]) -> str:
+    return rf"(?i)^{SPACE}*({'|'.join(words)}){SPACE}*$"
+
+
 def word_flag(c: Column) -> Column:
-    """1/0 for yes/no words, null for every other text."""
-    word = strip_lower(c)
-    return F.when(word.isin(*TRUE_WORDS), 1.0).when(word.isin(*FALSE_WORDS), 0.0)
+    """1/0 for yes/no words, null for every other text.
+
+    Matched from the start of the text, so a long text is dismissed at its first characters."""
+    return F.when(c.rlike(_one_of(TRUE_WORDS)), 1.0).when(c.rlike(_one_of(FALSE_WORDS)), 0.0)
 
 
 def text_to_number(c: Column) -> Column:
     """Number written in the text, else null. Plain decimal and exponent forms and infinities only."""
-    s = strip(c)
     return (
-        F.when(s.rlike(NUMBER), s.try_cast("double"))
-        .when(F.lower(s).rlike(INFINITE),
-              F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+        F.when(c.rlike(NUMBER), strip(c).try_cast("double"))
+        .when(c.rlike(INFINITE),
+              F.when(F.contains(c, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
     )
 
 

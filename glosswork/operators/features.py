@@ -304,10 +304,12 @@ def unique_names(df: DataFrame, name: str, position: str, chunk: int = 1 << 20)
     before = counts.select(name, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(name, "_chunk").orderBy(position))
     repeat = F.col("_before") + inside - 1
-    return (cut.join(before, [name, "_chunk"]).withColumn("_repeat", repeat)
+    other = before.toDF("_name", "_part", "_before")
+    same = cut[name].eqNullSafe(other["_name"]) & (cut["_chunk"] == other["_part"])
+    return (cut.join(other, same).withColumn("_repeat", repeat)
             .withColumn("unique_name", F.when(F.col("_repeat") == 0, F.col(name)).otherwise(
                 F.concat(F.col(name), F.lit(" ("), F.col("_repeat").cast("string"), F.lit(")"))))
-            .drop("_chunk", "_before", "_repeat"))
+            .drop("_chunk", "_before", "_repeat", "_name", "_part"))
 
 
 def unique_name_list(names: Sequence[str]) -> list[str]:

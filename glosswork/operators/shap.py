@@ -48,17 +48,20 @@ def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
     m = len(features)
     values = F.array(*[column(f).cast("double") for f in features])
     rows = df.select(key, values.alias("_x"), feature_order(features, key, seed).alias("_order")).repartition(key)
-    around = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in background])
+    distinct, times = np.unique(background, axis=0, return_counts=True)   # equal rows are scored once
+    around = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in b]).alias("b"), F.lit(int(n)).alias("n"))
+                       for b, n in zip(distinct, times)])
     states = rows.select(key, "_x", "_order", F.explode(F.sequence(F.lit(0), F.lit(2 * m - 1))).alias("_s"))
-    pairs = states.select(key, "_x", "_order", "_s", F.explode(around).alias("_b"))
+    pairs = states.select(key, "_x", "_order", "_s", F.inline(around).alias("_b", "_n"))
 
     def from_row(i: int) -> Column:
         turn = F.array_position("_order", i) - 1
         return F.when(F.col("_s") <= m, turn < F.col("_s")).otherwise(turn >= 2 * m - F.col("_s"))
 
-    mixed = pairs.select(key, "_x", "_s", "_order", *[
+    mixed = pairs.select(key, "_x", "_s", "_order", "_n", *[
         F.when(from_row(i), F.col("_x")[i]).otherwise(F.col("_b")[i]).alias(f) for i, f in enumerate(features)])
-    means = (score(mixed).groupBy(key, "_x", "_s", "_order").agg(F.avg(member_mean(F.col(PREDS), k)).alias("_v"))
+    means = (score(mixed).groupBy(key, "_x", "_s", "_order").agg((
+        F.sum(F.col("_n") * member_mean(F.col(PREDS), k)) / F.lit(len(background))).alias("_v"))
              .groupBy(key, "_x", "_order").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_v")))
     v = lambda s: F.element_at("_v", s)
 
@@ -74,16 +77,18 @@ def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
                         v(F.lit(m)).alias("prediction"))
 
 
-def shap_block(x: np.ndarray, order: np.ndarray, background: np.ndarray,
+def shap_block(x: np.ndarray, order: np.ndarray, background: np.ndarray, times: np.ndarray,
                predict: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Values ``(rows, features)`` and state means ``(rows, 2 * features)`` of a block of rows."""
+    """Values ``(rows, features)`` and state means ``(rows, 2 * features)`` of a block of rows.
+
+    ``background`` holds distinct rows and ``times`` how often each occurs."""
     n, m = x.shape
     turn = np.argsort(order, axis=1)                        # position of each feature in the order
     s = np.arange(2 * m)[None, :, None]
     t = turn[:, None, :]
     own = np.where(s <= m, t < s, t >= 2 * m - s)           # rows x states x features
     mixed = np.where(own[:, :, None, :], x[:, None, None, :], background[None, None, :, :])
-    v = predict(mixed.reshape(-1, m)).mean(axis=0).reshape(n, 2 * m, len(background)).mean(axis=2)
+    v = predict(mixed.reshape(-1, m)).mean(axis=0).reshape(n, 2 * m, len(background)) @ (times / times.sum())
     back = np.concatenate([v[:, :1], v[:, m + 1:], v[:, m:m + 1]], axis=1)
     at = np.arange(n)[:, None]
     phi = (v[at, turn + 1] - v[at, turn] + back[at, m - turn] - back[at, m - turn - 1]) / 2
@@ -98,16 +103,16 @@ def shap_in_batches(df: DataFrame, background: np.ndarray, features: Sequence[st
     A row costs thousands of predictions, so the rows are first spread evenly over all cores; moving
     a row once is nothing against that, and no later step shuffles."""
     m, key_type = len(features), df.schema[key].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(background)
+    shared = df.sparkSession.sparkContext.broadcast(np.unique(background, axis=0, return_counts=True))
     step = max(1, _ROWS_PER_STEP // (2 * m * max(1, len(background))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = shared.value
+        sample, times = shared.value
         for batch in batches:
             for at in range(0, len(batch), step):
                 rows = batch.iloc[at:at + step]
                 x = rows.iloc[:, 2:].to_numpy(float)
-                phi, v = shap_block(x, np.stack(rows["_order"].to_list()), sample, predict)
+                phi, v = shap_block(x, np.stack(rows["_order"].to_list()), sample, times, predict)
                 yield pd.DataFrame({key: rows[key].to_numpy(), "xs": list(x), "phis": list(phi),
                                     "base_value": v[:, 0], "prediction": v[:, m]})
 

@@ -14,7 +14,7 @@ from glosswork.plans.registry import query
 from glosswork.session import materialize, scratch_path
 from glosswork.sources.csv import clear_missing, read_csv, read_csv_tolerant, rows_at
 from glosswork.sources.sinks import audit_row, write_quoted_csv
-from glosswork.sources.tables import THEMES, odd_texts, rated_reviews, reviews
+from glosswork.sources.tables import THEMES, coded_documents, odd_texts, rated_reviews, reviews
 
 _SHOWN = "row_key, title, division, n_chars, rating, recommended_txt, age, " + ", ".join(THEMES)
 _TOKENS = [t for t in NULL_TOKENS] + ["none", "-", "x"]
@@ -38,8 +38,7 @@ select {_SHOWN.replace('recommended_txt', "case when recommended_txt <> 'None' t
   cast(length(review_text) as bigint) as text_length from reviews""")
 def review_scan_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan with missing-value tokens cleared."""
-    df = clear_missing(reviews(spark, sf_dir, with_text=True))
-    return df.select(*_SHOWN.split(", "), F.length("review_text").cast("bigint").alias("text_length"))
+    return clear_missing(reviews(spark, sf_dir)).select(*_SHOWN.split(", "), "text_length")
 
 
 def _token(size: int) -> Column:
@@ -52,7 +51,7 @@ select row_key, raw, case when raw not in ({_SQL_TOKENS}) then raw end as cleane
   select row_key, title, list_extract([{", ".join(f"'{t}'" for t in _TOKENS)}], cast(row_key % {len(_TOKENS)} + 1 as int)) as raw
   from reviews)""")
 def null_token_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reviews(spark, sf_dir).select("row_key", "title", _token(len(_TOKENS)).alias("raw"))
+    df = coded_documents(spark, sf_dir).select("row_key", "title", _token(len(_TOKENS)).alias("raw"))
     return df.select("row_key", "raw", clear_null_tokens(F.col("raw")).alias("cleaned"),
                      clear_null_tokens(F.col("title")).alias("title"))
 
@@ -71,7 +70,7 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = {0: F.concat(lit(" "), n, lit(" ")), 1: F.concat(n, lit("e3")), 2: F.concat(n, lit("d")), 3: lit("inf"),
            4: F.concat(n, lit(",000")), 5: F.concat(lit("0x"), n), 6: F.concat(n, lit("_0")), 7: lit("True"),
            8: F.concat(lit("-"), n, lit(".5")), 9: lit("nan"), 10: F.concat(lit("."), n)}
-    raw = odd_texts(reviews(spark, sf_dir), odd, n, "raw")
+    raw = odd_texts(coded_documents(spark, sf_dir), odd, n, "raw")
     return raw.select("row_key", "raw", text_to_number(F.col("raw")).alias("value"))
 
 
@@ -143,7 +142,7 @@ def feature_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rated_reviews_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews(spark, sf_dir, with_text=True).na.drop(subset=["rating"])
+    return reviews(spark, sf_dir, with_text=True).drop("text_length").na.drop(subset=["rating"])
 
 
 @query("text_column_detect", " union all ".join(f"""
@@ -176,14 +175,14 @@ select row_key, coalesce({_sql_number('t1')}, 0) as T1_TABLE, 0.0::double as T7_
   from reviews)""")
 def theme_fill_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("T1_TABLE").cast("string")
-    raw = odd_texts(reviews(spark, sf_dir), {0: F.lit(None), 1: F.lit("x"), 2: F.concat(F.lit(" "), flag)}, flag, "T1_TABLE")
+    raw = odd_texts(coded_documents(spark, sf_dir), {0: F.lit(None), 1: F.lit("x"), 2: F.concat(F.lit(" "), flag)}, flag, "T1_TABLE")
     full = feat.add_missing_columns(raw.select("row_key", "T1_TABLE"), ["T1_TABLE", "T7_RETURN_REFUND"])
     return feat.zero_filled(full, ["T1_TABLE", "T7_RETURN_REFUND"])
 
 
 @query("drop_metadata_columns", f"select row_key, rating, n_chars, age, {', '.join(THEMES)} from rated")
 def drop_metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reviews(spark, sf_dir, with_text=True)
+    df = reviews(spark, sf_dir, with_text=True).drop("text_length")
     slim = feat.drop_metadata(df, "rating", ["title", "review_text", "division", "recommended_txt", "rating", "no such"])
     return feat.drop_missing_target(slim, "rating")
 
@@ -256,7 +255,7 @@ def tolerant_csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, field = F.col("row_key").cast("string"), F.pmod("row_key", F.lit(7))
     line = (F.when(field == 3, F.concat_ws(",", key, "title", "division", F.lit("surplus")))
             .when(field == 5, F.concat_ws(",", key, "title")).otherwise(F.concat_ws(",", key, "title", "division")))
-    reviews(spark, sf_dir).select(line.alias("value")).write.option("header", False).text(path)
+    coded_documents(spark, sf_dir).select(line.alias("value")).write.option("header", False).text(path)
     read = read_csv_tolerant(spark, path, ["row_key", "title", "division"], header=False, multi_line=False)
     both = (read.rows.withColumn("kind", F.lit("kept"))
             .unionByName(read.bad_lines.drop("_extra").withColumn("kind", F.lit("surplus"))))

@@ -11,7 +11,7 @@ from glosswork.operators import coding
 from glosswork.operators.evaluate import status_counts
 from glosswork.plans.registry import part, query
 from glosswork.session import scratch_path
-from glosswork.sources.tables import THEMES, recorded_answers, reviews, table, theme_flags
+from glosswork.sources.tables import THEMES, coded_documents, recorded_answers, table, theme_flags
 from glosswork.streaming.theme_stream import read_stream, run_theme_stream
 
 # some rows lack a title, some a text, some both
@@ -21,7 +21,7 @@ _GAPS_SQL = """select row_key, case when row_key % 5 = 0 then null else title en
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("row_key")
-    return reviews(spark, sf_dir, with_text=True).select(
+    return coded_documents(spark, sf_dir, with_text=True).select(
         "row_key", F.when(key % 5 != 0, F.col("title")).alias("title"),
         F.when(key % 3 != 0, F.col("review_text")).alias("review_text"))
 
@@ -62,7 +62,7 @@ from answers""")
 
 @query("json_slice", "select row_key, payload from slices")
 def json_slice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = recorded_answers(reviews(spark, sf_dir))
+    answers = recorded_answers(coded_documents(spark, sf_dir))
     return answers.select("row_key", json_slice(F.col("response")).alias("payload"))
 
 
@@ -84,7 +84,7 @@ from (select *, {", ".join(_sql_theme(n) for n in THEMES)} from slices) s join l
 
 def coded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coding job with recorded answers: text, prompt, answer, normalised themes, status."""
-    answers = recorded_answers(reviews(spark, sf_dir))
+    answers = recorded_answers(coded_documents(spark, sf_dir))
     return coding.code_themes(_gaps(spark, sf_dir), coding.recorded_labeller(answers), THEMES)
 
 
@@ -111,7 +111,7 @@ part("wrapped_themes", f"""select row_key, {", ".join(
 def theme_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coding job with the search codebook over whole texts. The text layout itself holds a bar, so
     the table theme is always found here."""
-    return _codebook(reviews(spark, sf_dir, with_text=True))
+    return _codebook(coded_documents(spark, sf_dir, with_text=True))
 
 
 @query("theme_writeback", f"""
@@ -120,7 +120,7 @@ from reviews r join coded_answers c using (row_key)""")
 def theme_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Themes of the rows coded so far (even keys) put back into the review table."""
     coded = coded_answers(spark, sf_dir).where(F.col("row_key") % 2 == 0)
-    plain = reviews(spark, sf_dir).select("row_key", "title")
+    plain = coded_documents(spark, sf_dir).select("row_key", "title")
     return coding.write_back(plain, coded, THEMES)
 
 
@@ -128,7 +128,7 @@ def theme_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
 select r.row_key, title from reviews r join coded_answers c using (row_key) where c.status not in ('ok', 'empty')""")
 def resume_pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows a second run has to label: those without a usable answer."""
-    plain = reviews(spark, sf_dir).select("row_key", "title")
+    plain = coded_documents(spark, sf_dir).select("row_key", "title")
     return coding.pending_rows(plain, coded_answers(spark, sf_dir), retry=["bad_json", "error"])
 
 

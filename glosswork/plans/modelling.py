@@ -18,7 +18,7 @@ from glosswork.operators.percentiles import rounded_columns
 from glosswork.plans.registry import SQL_POISSON, part, query, sql_uniform
 from glosswork.session import materialize
 from glosswork.sources.sinks import predictions_table, run_summary, selected_features
-from glosswork.sources.tables import CELLS, THEMES, priced_orders, rated_reviews, reviews, table
+from glosswork.sources.tables import CELLS, THEMES, coded_documents, priced_orders, rated_reviews, reviews, table
 
 K = len(MEMBER_SALTS)
 
@@ -187,7 +187,7 @@ def _feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(key % 2 == 0, "llm_").otherwise(""), "title", F.lit("_"), "division",
                     F.when(key % 4 == 0, "_present").when(key % 4 == 1, "_polarity")
                     .when(key % 4 == 2, "__intensity").otherwise(""))
-    return reviews(spark, sf_dir).select(name.alias("name")).distinct()
+    return coded_documents(spark, sf_dir).select(name.alias("name")).distinct()
 
 
 _SQL_DERIVED = "(name like 'llm\\_%' escape '\\' or name like '%\\_present' escape '\\' or name like '%\\_polarity' escape '\\' or name like '%\\_intensity' escape '\\')"
@@ -213,7 +213,7 @@ select row_key, case when r = 0 then title else concat(title, ' (', cast(r as va
   select row_key, title, row_number() over (partition by title order by row_key) - 1 as r from reviews)""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's title made unique in key order."""
-    return feat.unique_names(reviews(spark, sf_dir).select("row_key", "title"), "title", "row_key").select(
+    return feat.unique_names(coded_documents(spark, sf_dir).select("row_key", "title"), "title", "row_key").select(
         "row_key", "unique_name")
 
 

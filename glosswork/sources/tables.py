@@ -31,27 +31,33 @@ def theme_flags(text: Column, lowered: Column) -> dict[str, Column]:
     return out
 
 
-def reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """One row per document: text-coded themes, plain columns and a 1..5 rating (null if unlabelled).
-
-    Themes are computed below the join, so only small columns are shuffled when the label table is
-    too big to broadcast; the text travels only if asked for.
-    """
+def coded_documents(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """One row per document: text-coded themes and plain columns, without the labels."""
     docs = table(spark, sf_dir, "documents").withColumn("_lowered", F.lower("text"))
-    coded = docs.select(
+    return docs.select(
         F.col("doc_id").alias("row_key"),
         F.col("source").alias("title"),
         *([F.col("text").alias("review_text")] if with_text else []),
+        F.length("text").cast("bigint").alias("text_length"),
         F.col("lang").alias("division"),
         F.col("n_chars").cast("double").alias("n_chars"),
         F.when(F.col("doc_id") % 13 != 0, (F.col("n_chars") % 100).cast("double")).alias("age"),
         *[flag.alias(name) for name, flag in theme_flags(F.col("text"), F.col("_lowered")).items()],
     )
+
+
+def reviews(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """The coded documents with a 1..5 rating (null if unlabelled).
+
+    Themes are computed below the join, so only small columns are shuffled when the label table is
+    too big to broadcast; the text travels only if asked for.
+    """
+    coded = coded_documents(spark, sf_dir, with_text)
     labels = table(spark, sf_dir, "labels")
     joined = coded.join(labels, F.col("row_key") == F.col("doc_id"), "left")
     quality, toxic = F.col("quality"), F.col("toxic")
     return joined.select(
-        "row_key", "title", *(["review_text"] if with_text else []), "division", "n_chars",
+        "row_key", "title", *(["review_text"] if with_text else []), "text_length", "division", "n_chars",
         (1 + 3 * quality + (1 - toxic)).cast("double").alias("rating"),
         F.when(quality.isNull(), "None").when(quality == 1, " Yes ").otherwise("no").alias("recommended_txt"),
         "age", *THEMES,

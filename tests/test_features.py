@@ -125,6 +125,12 @@ def test_unique_names(make):
     assert got == feat.unique_name_list(list("abaa")) == ["a", "b", "a (1)", "a (2)"]
 
 
+def test_unique_names_keeps_missing_names(make):
+    df = make([(0, None), (1, "a"), (2, None)], "p bigint, n string")
+    assert [r["unique_name"] for r in feat.unique_names(df, "n", "p").orderBy("p").collect()][1] == "a"
+    assert feat.unique_names(df, "n", "p").count() == 3
+
+
 def test_unique_names_with_a_hot_name(spark):
     """One name on every row, numbered over many position ranges."""
     df = spark.range(3000).select(F.col("id").alias("p"), F.lit("x").alias("n"))
