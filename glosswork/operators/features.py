@@ -295,6 +295,8 @@ def top_features(scores: DataFrame, n: int = TOP_DERIVED_FEATURES) -> DataFrame:
 def unique_names(df: DataFrame, name: str, position: str, chunk: int = 1 << 20) -> DataFrame:
     """Adds ``unique_name``: the second and later holders of a name, in position order, get `` (1)``, …
 
+    ``position`` is a dense row position (``with_file_position`` and ``dense_position`` make one).
+
     One name may hold a third of all rows, so rows are not numbered per name in one task: they are
     numbered per name and position range, and the counts of the earlier ranges are added.
     """

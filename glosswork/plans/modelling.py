@@ -16,7 +16,7 @@ from glosswork.operators import features as feat
 from glosswork.operators import split as sp
 from glosswork.operators.percentiles import rounded_columns
 from glosswork.plans.registry import SQL_POISSON, part, query, sql_uniform
-from glosswork.session import materialize
+from glosswork.session import local_table, materialize
 from glosswork.sources.sinks import predictions_table, run_summary, selected_features
 from glosswork.sources.tables import CELLS, THEMES, coded_documents, priced_orders, rated_reviews, reviews, table
 
@@ -449,6 +449,24 @@ def order_ensemble_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                            ["mae", "rmse", "r2", "mean_std"])
 
 
+@query("linear_one_feature", """
+select member::int as member, round(sxy / sxx, 9) + 0.0 as slope, round(my - sxy / sxx * mx, 9) + 0.0 as intercept from (
+  select member, any_value(mx) as mx, any_value(my) as my, sum(w * (n_chars - mx) * (rating - my)) as sxy,
+    sum(w * (n_chars - mx) ** 2) as sxx from (
+    select *, sum(w * n_chars) over (partition by member) / sum(w) over (partition by member) as mx,
+      sum(w * rating) over (partition by member) / sum(w) over (partition by member) as my from (
+      select b.member, b.w, b.rating, (b.n_chars - m_n) / s_n as n_chars from boots b cross join row_stats where split = 'train'))
+  group by member)""")
+def linear_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap least squares on one scaled feature, whose solution is known in closed form."""
+    train = train_part(coded_rated(spark, sf_dir, "n_chars"))
+    scaled = feat.Scaler.fit(train, ["n_chars"]).transform(train)
+    model = ens.LinearMembers.fit(scaled, ["n_chars"], "rating")
+    out = local_table(spark, [(m, float(b[1]), float(b[0])) for m, b in zip(model.members, model.coefficients)],
+                      "member int, slope double, intercept double")
+    return rounded_columns(out, ["slope", "intercept"], 9)
+
+
 _GRAM = ["n_chars", *CELLS]
 
 

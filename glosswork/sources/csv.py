@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glosswork.functions.coerce import clear_null_tokens, text_to_number
-from glosswork.session import local_table
+from glosswork.session import local_table, materialize
 
 SURPLUS = "_extra"
 BLOCK_LIMIT = 20_000
@@ -119,7 +119,8 @@ def with_file_position(df: DataFrame, name: str = "row_key") -> DataFrame:
 
     Rows are counted per file block; the offsets of the blocks, one row per block, are summed in
     file order; a row's position is its block's offset plus its index inside the block. No global
-    sort and no shuffle of the rows. ``df`` must be a plain scan (its rows still carry metadata).
+    sort, and no shuffle of the rows while there are at most BLOCK_LIMIT blocks. ``df`` must be a
+    plain scan, filtered or not (its rows still carry metadata).
     """
     tagged = df.select("*", F.col("_metadata.file_path").alias("_path"),
                        F.col("_metadata.file_block_start").alias("_start"),
@@ -139,21 +140,15 @@ def with_file_position(df: DataFrame, name: str = "row_key") -> DataFrame:
         "_path", "_start", "_id", "_first", "_offset")
 
 
-def dense_position(df: DataFrame, key: str, name: str = "position", chunk: int = 1 << 20) -> DataFrame:
-    """0-based rank by a unique BIGINT key without sorting everything in one task.
+def dense_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """0-based rank by a unique key without ordering everything in one task.
 
-    Keys are cut into ranges of ``chunk`` values. Counts per range are summed in key order (one row
-    per range), and rows are numbered inside their range, which holds at most ``chunk`` of them.
+    The rows are written in key order, cut into even ranges by sampling, and then numbered by their
+    place in the files: evenly spread however the keys are distributed. The result reads the written
+    table, so using it twice does not sort twice.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(key) / F.lit(chunk)))
-    counts = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(
-        "_chunk",
-        F.coalesce(F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_chunk").orderBy(key))
-    return (cut.join(before, "_chunk")
-            .withColumn(name, F.col("_before") + inside - 1).drop("_chunk", "_before"))
+    ordered = materialize(df.repartitionByRange(key).sortWithinPartitions(key), "ordered")
+    return with_file_position(ordered, name)
 
 
 def rows_at(df: DataFrame, positions: Iterable[int], key: str, total: int | None = None,

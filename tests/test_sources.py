@@ -55,14 +55,26 @@ def test_file_position(spark, folder, tmp_path):
 
 def test_dense_position(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "key")
-    got = csv.dense_position(df, "key", chunk=100).orderBy("key").collect()
+    got = csv.dense_position(df.repartition(6), "key").orderBy("key").collect()
     assert [r["position"] for r in got] == list(range(len(got)))
+    far = spark.range(3000).select((F.xxhash64("id")).alias("key"))
+    got = csv.dense_position(far, "key").orderBy("key").collect()
+    assert [r["position"] for r in got] == list(range(3000))
     assert [r["key"] for r in csv.rows_at(df, [0, 10], "key").orderBy("key").collect()] == [0, 70]
     with pytest.raises(ValueError, match="out of range"):
         csv.rows_at(df, [10_000], "key")
     assert csv.rows_at(df, [10_000], "key", clamp=True).first()["key"] == 4998
 
 
+def test_file_position_with_many_blocks(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv, "BLOCK_LIMIT", 1)
+    for part in range(4):
+        folder(f"p{part}.csv", "k\n" + "".join(f"{part * 100 + i}\n" for i in range(50)))
+    rows = csv.with_file_position(csv.read_csv_tolerant(spark, str(tmp_path)).rows).collect()
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["row_key"])] == [
+        str(part * 100 + i) for part in range(4) for i in range(50)]
+
+
 def test_split_sink_and_selected_features(spark, make, tmp_path):
     split = make([(1, "train"), (2, "test"), (3, "train")], "row_key bigint, split string")
     sinks.write_split(split, str(tmp_path / "s"))
