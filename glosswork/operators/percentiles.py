@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,21 +73,26 @@ def order_statistics(df: DataFrame, ranks: dict[tuple[str, int], float | None],
     while open_:
         wide = [k for k in open_ if open_[k][3] > limit]
         if not wide:
-            aggs = [F.percentile(inside(key), [_fraction(key[1] - open_[key][2], open_[key][3])]).alias(f"v{i}")
-                    for i, key in enumerate(open_)]
-            row = df.agg(*aggs).first()
-            for i, key in enumerate(list(open_)):
-                ranks[key] = row[f"v{i}"][0]
+            # the discrete percentile returns a value of the data itself: nothing is interpolated here
+            left = list(open_)
+            values = df.select(*[inside(key).alias(f"v{i}") for i, key in enumerate(left)])
+            shares = [(key[1] - open_[key][2] + 0.5) / open_[key][3] for key in left]
+            row = values.agg(*[F.expr(f"percentile_disc({share!r}D) within group (order by v{i})").alias(f"v{i}")
+                               for i, share in enumerate(shares)]).first()
+            ranks.update({key: row[f"v{i}"] for i, key in enumerate(left)})
             return
+        # ranks that still share a bracket share one sketch: at first, one per column
+        sketches: dict[tuple, list[tuple[str, int]]] = {}
+        for key in wide:
+            sketches.setdefault((key[0], *open_[key]), []).append(key)
+        span = 2.0 / _ACCURACY
         aggs = []
-        for i, key in enumerate(wide):
-            _, _, below, m = open_[key]
-            at = (key[1] - below + 0.5) / m
-            span = 2.0 / _ACCURACY
-            aggs.append(F.percentile_approx(inside(key), [max(0.0, at - span), min(1.0, at + span)],
-                                            _ACCURACY).alias(f"b{i}"))
+        for i, ((_, _, _, below, m), keys) in enumerate(sketches.items()):
+            points = [min(1.0, max(0.0, (k + 0.5 - below) / m + side)) for _, k in keys for side in (-span, span)]
+            aggs.append(F.percentile_approx(inside(keys[0]), points, _ACCURACY).alias(f"b{i}"))
         row = df.agg(*aggs).first()
-        narrowed = {key: row[f"b{i}"] for i, key in enumerate(wide)}
+        narrowed = {key: row[f"b{i}"][2 * j:2 * j + 2]
+                    for i, keys in enumerate(sketches.values()) for j, key in enumerate(keys)}
         aggs = []
         for i, key in enumerate(wide):
             low, high = narrowed[key]
@@ -107,11 +113,12 @@ def order_statistics(df: DataFrame, ranks: dict[tuple[str, int], float | None],
 
 
 def _halve(df: DataFrame, key: tuple[str, int], bracket: tuple) -> tuple:
-    """Split a bracket at its middle value: the way forward when a sketch does not narrow it."""
+    """Split a bracket in two: the way forward when a sketch does not narrow it. The cut is halfway in
+    the order of all DOUBLE values, so at most 64 cuts leave a single value, whatever the range."""
     c, (low, high, below, _) = _clean(key[0]), bracket
     if low is None:
         low, high = df.agg(F.min(c), F.max(c)).first()
-    middle = low + (high - low) / 2
+    middle = _from_ordinal((_ordinal(low) + _ordinal(high)) // 2)
     left, right, above = df.agg(
         F.count_if(c.between(F.lit(low), F.lit(middle))),
         F.count_if((c > F.lit(middle)) & (c <= F.lit(high))),
@@ -119,8 +126,15 @@ def _halve(df: DataFrame, key: tuple[str, int], bracket: tuple) -> tuple:
     return (low, middle, below, left) if key[1] < below + left else (above, high, below + left, right)
 
 
-def _fraction(k: int, m: int) -> float:
-    return 0.0 if m <= 1 else k / (m - 1)
+def _ordinal(x: float) -> int:
+    """Place of a DOUBLE in the order of all of them."""
+    bits = struct.unpack("<q", struct.pack("<d", x))[0]
+    return bits if bits >= 0 else -(bits & (2 ** 63 - 1))
+
+
+def _from_ordinal(n: int) -> float:
+    size = struct.unpack("<d", struct.pack("<q", abs(n)))[0]
+    return size if n >= 0 else -size
 
 
 def medians(df: DataFrame, columns: Sequence[str], limit: int = DIRECT_LIMIT) -> dict[str, float | None]:

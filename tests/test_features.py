@@ -82,6 +82,21 @@ def test_percentiles_match_numpy_when_narrowing(make):
     assert medians(df.where("b < 0"), ["a"]) == {"a": None}
 
 
+@pytest.mark.parametrize("low, high, rank", [
+    (None, None, 4), (None, None, 9), (1.0, math.nextafter(1.0, 2), 5), (1.0, math.nextafter(1.0, 2), 6)])
+def test_halving_a_bracket(make, low, high, rank):
+    """Either half is smaller and holds the wanted rank, infinities and neighbouring numbers included."""
+    from glosswork.operators import percentiles
+    near = [1.0, math.nextafter(1.0, 2)]
+    values = sorted([-math.inf, -math.inf, -1e308, 0.0, *near, *near, 1e308, math.inf])
+    df = make([(v,) for v in values], "a double")
+    below = 0 if low is None else values.index(low)
+    inside = len([v for v in values if low is None or low <= v <= high])
+    low, high, below, less = percentiles._halve(df, ("a", rank), (low, high, below, inside))
+    assert low <= values[rank] <= high and below <= rank < below + less < below + inside
+    assert less == len([v for v in values if low <= v <= high]) and below == len([v for v in values if v < low])
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False) | st.sampled_from([0.0, 1.0]), min_size=1, max_size=60))
 def test_percentiles_property(make, values):
