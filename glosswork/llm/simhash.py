@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import materialize, ship_by_value, texts_in
+from glosswork.llm.common import fresh, materialize, ship_by_value, text_of, texts_in
 
 BITS = 64
 #: Shingles that are hashed and counted at a time: bounds the memory that a very long text takes.
@@ -49,15 +49,17 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): a row for each document; fp is the fingerprint's 64 bits as a long."""
+def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """The columns of a table, with ``fp`` (the fingerprint's 64 bits as a long) in place of its column ``text``."""
+    kept = [c for c in docs.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in texts_in(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fps)], [*kept, "fp"])
 
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return wanted.mapInArrow(run, f"id {wanted.schema['id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, docs.select(kept).withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def bit_groups(n: int) -> list[list[int]]:
@@ -170,6 +172,16 @@ def components(links: DataFrame) -> DataFrame:
             return tree
 
 
+def _rooted(prints: DataFrame, least: Column, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, least, root) and (root, least): the least value of each fingerprint's rows, and of each component's."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
+    links = fingerprint_links(nodes.select("fp"), radius, nodes.count())
+    roots = components(links).withColumnsRenamed({"node": "fp"})
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # written, so that a join with a component of very many fingerprints can be split
+    return rooted, materialize(rooted.groupBy("root").agg(F.min("least").alias("least")), "least")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, fp, component): for every row its fingerprint and the smallest id that links reach from it.
@@ -178,17 +190,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     texts or fingerprints are in one component; repeated rows stay. A null id never is the smallest; a component of null ids
     only has a null. An empty table gives none. Other columns are ignored.
     """
-    prints = materialize(with_fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    links = fingerprint_links(nodes.select("fp"), radius, nodes.count())
-    roots = components(links).withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # written, so that a join with a component of very many fingerprints can be split
-    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "smallest")
-    of_print = materialize(rooted.join(smallest, "root").select("fp", "component"), "components")
+    prints = materialize(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words),
+                         "fingerprints")
+    rooted, least = _rooted(prints, F.col("id"), radius)
+    of_print = materialize(rooted.select("fp", "root").join(least, "root").select("fp", F.col("least").alias("component")),
+                           "components")
     return prints.join(of_print, "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a table, one of each component of near duplicates: the one of the least id, null last.
+
+    Of rows with equal ids one with the least hash of the text stays, and of equal rows of that kind one. Texts without a word
+    are one group. Columns stay as they are; an empty table gives none.
+    """
+    i, h1, h2 = (fresh(docs, n) for n in ("_id", "_h1", "_h2"))
+    text = text_of(text_col)
+    keyed = docs.withColumns({i: F.col(id_col), h1: F.xxhash64(text), h2: F.xxhash64(F.lit("second"), text)})
+    wanted = keyed.select(F.col(i).alias("id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), text.alias("text"))
+    prints = materialize(with_fingerprints(wanted, words), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "h1", "h2")
+    _, least = _rooted(prints, order, radius)
+    keep = least.select(F.col("least.id").alias("id"), F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
+    # equal rows are reduced before the shuffle that the join needs anyway
+    single = keyed.dropDuplicates([i, h1, h2])
+    return single.join(keep, single[i].eqNullSafe(keep["id"]) & (single[h1] == keep["h1"]) & (single[h2] == keep["h2"]),
+                       "left_semi").select(docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
