@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import line_dedup, packing, pii, quality, simhash
+from glosswork.llm import code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash
 from glosswork.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,18 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
+@query("op5_text_density")
+def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_hash_ring")
+def op6_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hash_ring.sharded_documents(documents(spark, sf_dir))
+    return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 @query("op7_bounded_packing")
 def op7_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -51,3 +63,8 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query("op10_code_index")
+def op10_code_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, most=20)
