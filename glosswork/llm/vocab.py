@@ -126,4 +126,82 @@ class WordCoder:
             yield b"".join(parts)
 
 
+#: White space, Latin letters and what a keyboard has: every implementation of the splitting pattern agrees on these.
+_PLAIN = re.compile(r"[\n -~À-ɏ]*")
+
+
+class ByteCoder:
+    """A byte-level vocabulary, which keeps every byte of a text.
+
+    Before a blank with a plain character after it the splitting pattern always cuts, so a text is a row of chunks that begin
+    with a blank. ``long_chunk`` is called for chunks of at least ``long`` characters, if given."""
+
+    def __init__(self, path: str, long: int = 0, long_chunk=None):
+        import public_tokenizers
+        import tiktoken
+
+        self.library = library(path)
+        vocab, special, _ = read_vocabulary(path)
+        self.alphabet = byte_alphabet()
+        self.table = {i: token.encode() if token in special else bytes(self.alphabet[c] for c in token)
+                      for token, i in vocab.items()}
+        for token in special:  # these may have ids of their own
+            self.table[self.library.token_to_id(token)] = token.encode()
+        ranks = {word: i for i, word in self.table.items() if word.decode("utf-8", "replace") not in special}
+        self._fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
+        self._known: dict[str, bytes] = {}
+        self._long, self._long_chunk = long, long_chunk
+
+    def _ids(self, chunk: str) -> bytes:
+        if self._long and len(chunk) >= self._long:
+            return self._long_chunk(self, chunk)
+        if _PLAIN.fullmatch(chunk):
+            ids = self._fast.encode_ordinary(chunk)
+        else:
+            ids = self.library.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        if len(self._known) > REMEMBER:
+            self._known = {}
+        known = self._known
+        for word in set(words).difference(known):
+            known[word] = self._ids(" " + word)
+        return known
+
+    def segments(self, text: str) -> list[str]:
+        """The text cut at special tokens, which are the odd elements."""
+        return self._special.split(text) if self._special else [text]
+
+    def chunks(self, text: str) -> Iterator[tuple[str, list[str]]]:
+        """For each part of a text without special tokens: its first chunk, and the others without their leading blank."""
+        for piece in pieces_of(text):
+            if _ODD_BLANK.search(piece):
+                first, *words = _CUT_BEFORE.split(piece)
+                yield first, [w[1:] for w in words]
+            else:
+                first, *words = piece.split(" ")
+                yield first, words
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        out = []
+        for i, segment in enumerate(self.segments(text)):
+            if i % 2:
+                out.append(np.array([self.library.token_to_id(segment)], "<u4").tobytes())
+                continue
+            for first, words in self.chunks(segment):
+                if first:
+                    out.append(self._ids(first))
+                out += map(self._learn(words).__getitem__, words)
+        return b"".join(out)
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids; bytes that are no UTF-8 become replacement characters."""
+        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+_CUT_BEFORE = re.compile(r"(?= [!-~À-ɏ])")
+
 ship_by_value(__name__)
