@@ -60,7 +60,7 @@ def concatenated(parts: list[list[int]], encode, text) -> list[int]:
     return parts[0] if parts else []
 
 
-class _Merges:
+class Merges:
     """The vocabulary's merges on text written in its byte alphabet."""
 
     def __init__(self, coder: ByteCoder):
@@ -86,7 +86,7 @@ def _words(coder: ByteCoder, chunk: str) -> Iterator[str]:
 
 def encode_long(coder: ByteCoder, chunk: str) -> bytes:
     """A long chunk's ids: its words in a row, the long ones by tree concatenation."""
-    merges, out = _Merges(coder), []
+    merges, out = Merges(coder), []
     for word in _words(coder, chunk):
         parts = [merges.encode(p) for p in halves(merges.written(word), PART)]
         out.append(np.array(concatenated(parts, merges.encode, merges.text), "<u4").tobytes())
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, vocab_path: str, result: str = "ids", id_col: str =
 
     def gather(group_key: tuple, group: pa.Table) -> pa.Table:
         coder = _coder(vocab_path)
-        merges, rows = _Merges(coder), sorted(
+        merges, rows = Merges(coder), sorted(
             zip(*(group.column(c).to_pylist() for c in ("place", "inner", "ids"))), key=lambda r: r[0])
         copies = sum(r[0] == 0 for r in rows)  # equal rows of the table
         runs: list[list[list[int]]] = []
@@ -167,7 +167,7 @@ def _apart(path: str):
                 rows: list[tuple] = []
 
                 def collect(coder: ByteCoder, chunk: str, rows: list = rows) -> bytes:
-                    merges = _Merges(coder)
+                    merges = Merges(coder)
                     for word in _words(coder, chunk):
                         for n, part in enumerate(halves(merges.written(word), 64 * PART)):
                             rows.append((n > 0, part, None))
@@ -195,7 +195,7 @@ def _each(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = None
         for batch in batches:
-            merges = merges or _Merges(ByteCoder(path))
+            merges = merges or Merges(ByteCoder(path))
             done = [ids if part is None else np.array(concatenated([merges.encode(p) for p in halves(part, PART)], merges.encode,
                                                                   merges.text), "<u4").tobytes()
                     for part, ids in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
@@ -215,7 +215,7 @@ def decode(coded: DataFrame, vocab_path: str, ids_col: str = "ids", name: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
     rest = coded.drop(name)
-    return rest.mapInArrow(run, rest.withColumn(name, F.lit("")).schema)
+    return rest.mapInArrow(run, rest.withColumn(name, F.lit(None).cast("string")).schema)
 
 
 ship_by_value(__name__)

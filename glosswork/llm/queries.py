@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash
+from glosswork.llm import bpe_tree, code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash, token_counts
 from glosswork.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,11 +24,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 @query("op2_line_quality")
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(documents(spark, sf_dir))
 
 
+@query("op3_tree_bpe")
+def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_tree.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), result="digest")
+    return coded.withColumnRenamed("id", "doc_id")
+
+
 @query("op4_pii_spans")
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
