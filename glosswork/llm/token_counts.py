@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.bpe_tree import LONG, PART, Merges, concatenated, halves
@@ -121,10 +121,16 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     numbers = listed.join(counted, "pre_token").groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("place", "pieces")))["pieces"].alias("pieces"))
     # a block of empty texts has no pre-token
-    one = blocks.select("block", "documents").join(numbers, "block", "left").select("pieces", F.explode("documents").alias("d"))
-    total = F.aggregate(F.arrays_zip(F.col("d.places").alias("place"), F.col("d.counts").alias("n")), F.col("d.special"),
-                        lambda so_far, x: so_far + F.get(F.col("pieces"), x["place"]) * x["n"])
-    return one.select("d.id", "d.n_bytes", total.alias("n_tokens"))
+    held = blocks.select("block", "documents").join(numbers, "block", "left")
+
+    def total(d: Column) -> Column:
+        return F.aggregate(F.arrays_zip(d["places"].alias("place"), d["counts"].alias("n")), d["special"],
+                           lambda so_far, x: so_far + F.get(F.col("pieces"), x["place"]) * x["n"])
+
+    # summed within the block, so that no row of a document carries the block's list
+    return held.select(F.inline(F.transform("documents", lambda d: F.struct(
+        d["id"].alias("id"), d["n_bytes"].alias("n_bytes"), total(d).alias("n_tokens")))))
+
 
 
 ship_by_value(__name__)
