@@ -24,6 +24,8 @@ from glosswork.llm.vocab import REMEMBER, ByteCoder
 
 #: Characters of text after which a block ends.
 BLOCK = 1 << 22
+#: How the vocabulary writes a word without and with a blank before it.
+_BLANK = ("", "\u0120")
 
 
 class _Block:
@@ -32,36 +34,50 @@ class _Block:
     def __init__(self, coder: ByteCoder, known: dict[str, tuple[str, ...]]):
         self._coder, self._known = coder, known
         self._places: dict[str, int] = {}
-        self._chunks: dict[str, tuple[int, ...]] = {}
+        # a chunk's place, or places if it is more than one pre-token
+        self._chunks: dict[str, int | tuple[int, ...]] = {}
         self.size, self.documents = 0, []
 
-    def _split(self, chunk: str) -> tuple[int, ...]:
-        parts = self._known.get(chunk)
-        if parts is None:
-            if len(self._known) > REMEMBER:
-                self._known.clear()
-            parts = self._known[chunk] = tuple(part for part, _ in self._coder.library.pre_tokenizer.pre_tokenize_str(chunk))
-        places = self._places
-        found = self._chunks[chunk] = tuple(places.setdefault(part, len(places)) for part in parts)
+    def _split(self, chunk: str) -> int | tuple[int, ...]:
+        places, word = self._places, chunk[chunk.startswith(" "):]
+        if word.isascii() and word.isalpha():  # a pre-token as it is, in every version of Unicode
+            word = _BLANK[len(chunk) - len(word)] + word
+            found = places.setdefault(word, len(places))
+        else:
+            parts = self._known.get(chunk)
+            if parts is None:
+                if len(self._known) > REMEMBER:
+                    self._known.clear()
+                parts = self._known[chunk] = tuple(part for part, _ in self._coder.library.pre_tokenizer.pre_tokenize_str(chunk))
+            found = tuple(places.setdefault(part, len(places)) for part in parts)
+            if len(found) == 1:
+                found = found[0]
+        self._chunks[chunk] = found
         return found
 
     def add(self, key, text: str) -> None:
-        words, firsts, special = Counter(), Counter(), 0
+        chunks, special = Counter(), 0
         for i, segment in enumerate(self._coder.segments(text)):
             if i % 2:
                 special += 1
                 continue
             for first, rest in self._coder.chunks(segment):
-                firsts[first] += 1
-                words.update(rest)
+                chunks[first] += 1
+                chunks.update([" " + word for word in rest])
         held: dict[int, int] = {}
-        for counts, blank in ((firsts, ""), (words, " ")):
-            for word, n in counts.items():
-                chunk = blank + word
-                for place in self._chunks.get(chunk) or self._split(chunk):
-                    held[place] = held.get(place, 0) + n
+        several = []
+        for chunk, place, n in zip(chunks, map(self._chunks.get, chunks), chunks.values()):
+            if place is None:
+                place = self._split(chunk)
+            if type(place) is int:
+                held[place] = n  # no other chunk is this pre-token alone
+            else:
+                several.append((place, n))
+        for found, n in several:
+            for place in found:
+                held[place] = held.get(place, 0) + n
         order = sorted(held)
-        self.documents.append((key, len(text.encode("utf-8", "surrogatepass")), special, order, [held[p] for p in order]))
+        self.documents.append((key, len(text.encode("utf-8", "surrogatepass")), special, order, list(map(held.__getitem__, order))))
         self.size += len(text)
 
     def batch(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
