@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glosswork.functions.coerce import clear_null_tokens, text_to_number
-from glosswork.session import local_table, materialize
+from glosswork.session import materialize
 
 SURPLUS = "_extra"
-BLOCK_LIMIT = 20_000
 
 
 class TolerantRead(NamedTuple):
@@ -114,41 +113,55 @@ def read_csv_tolerant(spark: SparkSession, path: str | list[str], columns: list[
     return TolerantRead(clear_missing(rows), trim_header(raw.where(F.col(SURPLUS).isNotNull())))
 
 
+#: monotonically_increasing_id holds the task in the bits above these.
+_TASK_SHIFT = 33
+
+
+def _running_offsets(counts: DataFrame, order: list[str]) -> DataFrame:
+    """``counts`` with ``_offset``, the sum of ``_n`` before each row: a small table, one row per file block or task. It is
+    written, so its size is known, and Spark broadcasts it only below the session's threshold."""
+    before = F.sum("_n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return materialize(counts.withColumn("_offset", F.coalesce(before, F.lit(0))).drop("_n"), "offsets")
+
+
+def _placed(tagged: DataFrame, offsets: DataFrame, on: list[str], index: Column, name: str) -> DataFrame:
+    """Every row with its block's offset plus its index there; a row of an unknown block stops the job."""
+    lost = F.raise_error(F.lit("a row belongs to a block that was not counted")).cast("bigint")
+    joined = tagged.join(offsets, on, "left")
+    return joined.withColumn(name, F.coalesce(F.col("_offset") + index, lost))
+
+
 def with_file_position(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """Dense 0-based position in file order for a frame scanned from files.
+    """Dense 0-based position in file order (paths as text) for a frame scanned from files.
 
-    Rows are counted per file block; the offsets of the blocks, one row per block, are summed in
-    file order; a row's position is its block's offset plus its index inside the block. No global
-    sort, and no shuffle of the rows while there are at most BLOCK_LIMIT blocks. ``df`` must be a
-    plain scan, filtered or not (its rows still carry metadata).
+    How Spark cuts files into tasks can change from job to job. The rows are therefore written once, tagged with their
+    block and their number in the task, and counting and numbering both read what was written. Rows are counted per file
+    block and the blocks' offsets summed in file order; a row's position is its block's offset plus its index inside the
+    block. No global sort. ``df`` must be a plain scan, filtered or not (its rows still carry metadata).
     """
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_path"),
-                       F.col("_metadata.file_block_start").alias("_start"),
-                       F.monotonically_increasing_id().alias("_id"))
+    tagged = materialize(df.select("*", F.col("_metadata.file_path").alias("_path"),
+                                   F.col("_metadata.file_block_start").alias("_start"),
+                                   F.monotonically_increasing_id().alias("_id")), "tagged")
     blocks = tagged.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    offsets = blocks.withColumn(
-        "_offset",
-        F.sum("_n").over(W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)))
-    offsets = offsets.select("_path", "_start", "_first", F.coalesce("_offset", F.lit(0)).alias("_offset"))
-    known = offsets.limit(BLOCK_LIMIT + 1).collect()
-    if len(known) <= BLOCK_LIMIT:
-        offsets = F.broadcast(local_table(
-            df.sparkSession, [tuple(r) for r in known],
-            "_path string, _start bigint, _first bigint, _offset bigint"))
-    joined = tagged.join(offsets, ["_path", "_start"])
-    return joined.withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop(
+    offsets = _running_offsets(blocks, ["_path", "_start"])
+    return _placed(tagged, offsets, ["_path", "_start"], F.col("_id") - F.col("_first"), name).drop(
         "_path", "_start", "_id", "_first", "_offset")
 
 
 def dense_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """0-based rank by a unique key without ordering everything in one task.
 
-    The rows are written in key order, cut into even ranges by sampling, and then numbered by their
-    place in the files: evenly spread however the keys are distributed. The result reads the written
-    table, so using it twice does not sort twice.
+    The rows are cut into even ranges by sampling, sorted there, tagged with their task and their number in it, and written
+    once. Tasks are in key order, so a row's rank is the count of the rows of earlier tasks plus its own number, however the
+    keys are distributed and however the written files are read. The result reads the written table, so using it twice does
+    not sort twice.
     """
-    ordered = materialize(df.repartitionByRange(key).sortWithinPartitions(key), "ordered")
-    return with_file_position(ordered, name)
+    number = F.monotonically_increasing_id()
+    ordered = materialize(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", number).withColumn(
+        "_task", F.shiftright("_id", _TASK_SHIFT)), "ordered")
+    offsets = _running_offsets(ordered.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")), ["_task"])
+    index = F.col("_id") - F.shiftleft("_task", _TASK_SHIFT)
+    return _placed(ordered, offsets, ["_task"], index, name).drop("_id", "_task", "_offset")
 
 
 def rows_at(df: DataFrame, positions: Iterable[int], key: str, total: int | None = None,

@@ -66,13 +66,26 @@ def test_dense_position(spark):
     assert csv.rows_at(df, [10_000], "key", clamp=True).first()["key"] == 4998
 
 
-def test_file_position_with_many_blocks(spark, folder, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv, "BLOCK_LIMIT", 1)
+def _changed(spark, parallelism, split_bytes):
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+
+
+def test_positions_do_not_depend_on_how_files_are_cut(spark, folder, tmp_path):
     for part in range(4):
-        folder(f"p{part}.csv", "k\n" + "".join(f"{part * 100 + i}\n" for i in range(50)))
-    rows = csv.with_file_position(csv.read_csv_tolerant(spark, str(tmp_path)).rows).collect()
-    assert [r["k"] for r in sorted(rows, key=lambda r: r["row_key"])] == [
-        str(part * 100 + i) for part in range(4) for i in range(50)]
+        folder(f"p{part}.csv", "k\n" + "".join(f"{part * 1000 + i}\n" for i in range(1000)))
+    try:
+        for multi_line in (False, True):
+            _changed(spark, 2, "10000000")
+            keyed = csv.with_file_position(csv.read_csv_tolerant(spark, str(tmp_path), multi_line=multi_line).rows)
+            ranked = csv.dense_position(spark.range(40_000).repartition(3), "id")
+            _changed(spark, 64, "1000")
+            assert sorted((r["row_key"], int(r["k"])) for r in keyed.collect()) == [(i, i) for i in range(4000)]
+            assert ranked.count() == 40_000 and ranked.where("id <> position").count() == 0
+    finally:
+        for key in ("leafNodeDefaultParallelism", "files.maxPartitionBytes", "files.openCostInBytes"):
+            spark.conf.unset(f"spark.sql.{key}")
 
 
 def test_split_sink_and_selected_features(spark, make, tmp_path):
