@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def metric_columns(target: Column, pred: Column, std: Column | None = None,
-                   weight: Column | None = None) -> dict[str, Column]:
+                   weight: Column | None = None, centre: Column | None = None) -> dict[str, Column]:
     """Aggregates for MAE, RMSE, R² and, with ``std``, the mean predictive deviation.
 
-    With ``weight`` a row stands for that many equal rows. A constant target gives R² 1 for a
-    perfect prediction, else 0.
+    With ``weight`` a row stands for that many equal rows; then ``centre`` is a number near the
+    target's mean, so that squares keep their digits. A constant target gives R² 1 for a perfect
+    prediction, else 0.
     """
     w = F.lit(1) if weight is None else weight
     error = target - pred
@@ -21,7 +22,8 @@ def metric_columns(target: Column, pred: Column, std: Column | None = None,
     if weight is None:
         spread = F.var_pop(target) * n               # merged around the mean: no cancellation
     else:
-        spread = F.sum(w * target * target) - F.sum(w * target) * F.sum(w * target) / n
+        off = target - (F.lit(0.0) if centre is None else centre)
+        spread = F.sum(w * off * off) - F.sum(w * off) * F.sum(w * off) / n
     squares = F.sum(w * error * error)
     out = {
         "n": n.cast("bigint"),
@@ -36,8 +38,20 @@ def metric_columns(target: Column, pred: Column, std: Column | None = None,
 
 def regression_metrics(scored: DataFrame, target: str, pred: str = "pred_mean", std: str | None = None,
                        by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Metrics per group. With ``weight`` the weighted mean of each group is found first, one row per group, and the
+    squares are taken around it."""
+    centre = None
+    if weight is not None:
+        w, y = F.col(weight), F.col(target)
+        mean = (F.sum(w * y) / F.sum(F.when(y.isNotNull(), w))).alias("_centre")
+        if by:
+            means = scored.groupBy(*by).agg(mean).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_centre")
+            same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+            scored, centre = scored.join(means, same, "left"), F.col("_centre")
+        else:
+            centre = scored.agg(mean).scalar()
     columns = metric_columns(F.col(target), F.col(pred), None if std is None else F.col(std),
-                             None if weight is None else F.col(weight))
+                             None if weight is None else F.col(weight), centre)
     return scored.groupBy(*by).agg(*[c.alias(n) for n, c in columns.items()])
 
 

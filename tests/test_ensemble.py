@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,27 @@ def test_metrics(make, rows, want):
     assert weighted["n"] == 2 * len(rows) and np.isclose(weighted["r2"], r2) and np.isclose(weighted["mae"], got["mae"])
 
 
+def test_weighted_metrics_keep_their_digits(make):
+    """Targets far from zero, in groups far from each other, against exact arithmetic."""
+    rng = np.random.default_rng(7)
+    rows = [(g, base + float(y), base + float(y) + 0.1 * float(e), 1 + i % 3)
+            for g, base in ((None, 1e9), ("b", 2e9)) for i, (y, e) in enumerate(rng.uniform(size=(600, 2)))]
+
+    def exact(group):
+        held = [(Fraction(y), Fraction(p), w) for g, y, p, w in rows if g == group]
+        n = sum(w for *_, w in held)
+        mean = sum(w * y for y, _, w in held) / n
+        return n, float(1 - sum(w * (y - p) ** 2 for y, p, w in held) / sum(w * (y - mean) ** 2 for y, _, w in held))
+
+    df = make(rows, "g string, y double, pred_mean double, w int")
+    got = {r["g"]: r for r in ev.regression_metrics(df, "y", by=["g"], weight="w").collect()}
+    got["alone"] = ev.regression_metrics(df.where("g = 'b'"), "y", weight="w").first()
+    assert set(got) == {None, "b", "alone"}
+    for g, row in got.items():
+        n, r2 = exact("b" if g == "alone" else g)
+        assert row["n"] == n and abs(row["r2"] - r2) < 1e-9 and 0.5 < r2 < 1
+
+
 def test_ensemble_is_no_worse_than_its_members(make):
     rng = np.random.default_rng(2)
     y = rng.normal(size=200)
