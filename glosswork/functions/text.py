@@ -8,15 +8,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glosswork.fixed_values import CODEBOOK, EMPTY_REVIEW_TEXTS, MAX_CHARS, PROMPT_INTRO
+from glosswork.fixed_values import CODEBOOK, EMPTY_REVIEW_TEXTS, PROMPT_INTRO
 from glosswork.functions.coerce import strip
 
 INTEGER_TEXT = r"^[+-]?\d+(_\d+)*$"
 
 
-def review_text(title: Column, review: Column, max_chars: int | None = MAX_CHARS) -> Column:
-    """``Title: … | Review: …`` with missing parts empty, trimmed, then cut to ``max_chars``
-    characters (``None`` keeps the whole text)."""
+def review_text(title: Column, review: Column, max_chars: int | None = None) -> Column:
+    """``Title: … | Review: …`` with missing parts empty, trimmed; with ``max_chars``
+    it is then cut to so many characters."""
     text = strip(F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")),
                           F.lit(" | Review: "), F.coalesce(review, F.lit(""))))
     return text if max_chars is None else F.substring(text, 1, max_chars)

@@ -9,16 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.fixed_values import CODEBOOK, MAX_CHARS
+from glosswork.fixed_values import CODEBOOK
 from glosswork.functions.text import (
     is_empty_review, parsed_answer, prompt, review_text, theme_columns,
 )
 from glosswork.operators.features import add_missing_columns
 
 
+#: Title and review as they are, without the layout of the text.
+SEARCHED = ("_title", "_review")
+
+
 class TextLabeller(Protocol):
-    """Adds ``response`` (STRING, null where the call failed) to rows with ``row_key``, ``text`` and
-    ``prompt``. A labeller that calls a service belongs in ``mapInPandas``, one client per task."""
+    """Adds ``response`` (STRING, null where the call failed) to rows with ``row_key``, ``text``,
+    ``prompt`` and the two fields of the text by themselves (``SEARCHED``). A labeller that calls a service belongs in ``mapInPandas``, one client per task."""
 
     def __call__(self, rows: DataFrame) -> DataFrame: ...
 
@@ -29,11 +33,12 @@ def recorded_labeller(answers: DataFrame, key: str = "row_key") -> TextLabeller:
 
 
 def codebook_labeller(flags: Callable[[Column, Column], Mapping[str, Column]]) -> TextLabeller:
-    """Answers found by searching the text and its lower-case form; stays inside the JVM."""
+    """Answers found by searching title and review, without the layout around them, and their lower-case
+    form; stays inside the JVM."""
     def label(rows: DataFrame) -> DataFrame:
-        lowered = rows.withColumn("_lowered", F.lower("text"))
-        found = [c.alias(n) for n, c in flags(F.col("text"), F.col("_lowered")).items()]
-        return lowered.withColumn("response", F.to_json(F.struct(*found))).drop("_lowered")
+        lowered = rows.withColumn("_plain", F.concat_ws("\n", *SEARCHED)).withColumn("_lowered", F.lower("_plain"))
+        found = [c.alias(n) for n, c in flags(F.col("_plain"), F.col("_lowered")).items()]
+        return lowered.withColumn("response", F.to_json(F.struct(*found))).drop("_plain", "_lowered")
     return label
 
 
@@ -41,7 +46,7 @@ def function_labeller(connect: Callable[[], Callable[[str], str]]) -> TextLabell
     """Answers from a Python function of the prompt, such as a client of a model service.
 
     ``connect`` runs once per task and returns the function. A call that raises leaves that row's
-    answer null; the other rows are not affected.
+    answer null and its reason in ``error_text``; the other rows are not affected.
     """
     def label(rows: DataFrame) -> DataFrame:
         kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
@@ -49,46 +54,57 @@ def function_labeller(connect: Callable[[], Callable[[str], str]]) -> TextLabell
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ask = connect()
             for batch in batches:
-                yield batch.assign(response=[answer_or_none(ask, p) for p in batch["prompt"]])
+                answers = [answer_or_reason(ask, p) for p in batch["prompt"]]
+                yield batch.assign(response=[a for a, _ in answers], error_text=[e for _, e in answers])
 
-        return rows.mapInPandas(run, ", ".join([*kept, "response string"]))
+        return rows.mapInPandas(run, ", ".join([*kept, "response string", "error_text string"]))
     return label
 
 
-def answer_or_none(ask: Callable[[str], str], request: str) -> str | None:
+def answer_or_reason(ask: Callable[[str], str], request: str) -> tuple[str | None, str | None]:
     try:
-        return ask(request)
-    except Exception:  # noqa: BLE001  any failed call is recorded as a missing answer
-        return None
+        return ask(request), None
+    except Exception as error:  # noqa: BLE001  any failed call is recorded as a missing answer with its reason
+        return None, f"{type(error).__name__}: {error}"
 
 
 def labelling_input(df: DataFrame, title: str = "title", review: str = "review_text",
-                    codebook: Mapping[str, str] = CODEBOOK, max_chars: int | None = MAX_CHARS) -> DataFrame:
-    """Adds ``text`` and ``prompt``; a column the table does not have counts as missing."""
+                    codebook: Mapping[str, str] = CODEBOOK, max_chars: int | None = None) -> DataFrame:
+    """Adds ``text``, ``prompt`` and the plain fields; a column the table does not have counts as missing.
+    With ``max_chars`` text and fields are cut."""
     missing = F.lit(None).cast("string")
     part = lambda n: F.col(f"`{n}`").cast("string") if n in df.columns else missing
-    with_text = df.withColumn("text", review_text(part(title), part(review), max_chars))
+    cut = lambda c: c if max_chars is None else F.substring(c, 1, max_chars)
+    with_text = df.withColumns({"text": review_text(part(title), part(review), max_chars),
+                                **{n: cut(part(c)) for n, c in zip(SEARCHED, (title, review))}})
     return with_text.withColumn("prompt", prompt(F.col("text"), codebook))
 
 
 def normalise_answers(answered: DataFrame, themes: Sequence[str]) -> DataFrame:
-    """Adds ``status`` and one 0/1 column per theme.
+    """Adds ``status`` and one 0/1 column per theme to rows with a ``response``.
 
-    ``empty`` rows have no text and are coded 0; ``error`` rows got no answer and ``bad_json`` rows an
-    unreadable one: both are coded 0 too, but can be told apart and retried.
+    ``error`` rows got no answer and ``bad_json`` rows an unreadable one: both are coded 0, but can be
+    told apart and retried.
     """
-    empty = is_empty_review(F.col("text"))
-    read = answered.withColumn("_parsed", F.when(~empty, parsed_answer(F.col("response"))))
-    status = (F.when(empty, "empty").when(F.col("response").isNull(), "error")
-              .when(F.col("_parsed").isNull(), "bad_json").otherwise("ok"))
+    read = answered.withColumn("_parsed", parsed_answer(F.col("response")))
+    status = (F.when(F.col("response").isNull(), "error").when(F.col("_parsed").isNull(), "bad_json").otherwise("ok"))
     return read.withColumns({"status": status, **theme_columns(F.col("_parsed"), themes)}).drop("_parsed")
 
 
 def code_themes(df: DataFrame, labeller: TextLabeller, themes: Sequence[str],
                 key: str = "row_key", **text_options) -> DataFrame:
-    """``(row_key, status, themes…)`` for every row."""
-    rows = labelling_input(df, **text_options).select(key, "text", "prompt")
-    return normalise_answers(labeller(rows), themes).select(key, "status", *themes)
+    """``(row_key, status, themes…)`` for every row, and ``error_text`` where the labeller gives it.
+
+    Rows without a text are ``empty`` and coded 0; the labeller never sees them. Emptiness is decided
+    below whatever join the labeller makes, so a labeller that needs no text does not move texts.
+    """
+    rows = labelling_input(df, **text_options).select(key, "text", "prompt", *SEARCHED)
+    empty = is_empty_review(F.col("text"))
+    coded = normalise_answers(labeller(rows.where(~empty)), themes)
+    reasons = [c for c in ("error_text",) if c in coded.columns]
+    blank = rows.where(empty).select(key, F.lit("empty").alias("status"), *[F.lit(0).alias(t) for t in themes],
+                                     *[F.lit(None).cast("string").alias(c) for c in reasons])
+    return coded.select(key, "status", *themes, *reasons).unionByName(blank)
 
 
 def write_back(df: DataFrame, coded: DataFrame, themes: Sequence[str], key: str = "row_key") -> DataFrame:

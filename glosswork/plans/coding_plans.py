@@ -45,12 +45,13 @@ _HEADER_SQL = prompt_header().replace("'", "''")
 
 
 @query("prompt_build", rf"""
-select row_key, regexp_replace('{_HEADER_SQL}' || substr(whole, 1, {MAX_CHARS}), '^{_SPACE}+|{_SPACE}+$', '', 'g') as prompt
-from labelled_texts""")
+select row_key, regexp_replace('{_HEADER_SQL}' || whole, '^{_SPACE}+|{_SPACE}+$', '', 'g') as prompt,
+  substr(whole, 1, {MAX_CHARS}) as short_text from labelled_texts""")
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelling request of every row; the request holds at most 1,000 characters of the review."""
-    text = review_text(F.col("title"), F.col("review_text"))
-    return _gaps(spark, sf_dir).select("row_key", prompt(text).alias("prompt"))
+    """The labelling request of every row with its whole text, and the cut text that a caller can ask for."""
+    parts = F.col("title"), F.col("review_text")
+    return _gaps(spark, sf_dir).select("row_key", prompt(review_text(*parts)).alias("prompt"),
+                                       review_text(*parts, max_chars=MAX_CHARS).alias("short_text"))
 
 
 part("slices", """
@@ -99,18 +100,16 @@ def coding_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _codebook(rows: DataFrame) -> DataFrame:
-    return coding.code_themes(rows, coding.codebook_labeller(theme_flags), THEMES, max_chars=None)
+    return coding.code_themes(rows, coding.codebook_labeller(theme_flags), THEMES)
 
 
-_CODEBOOK_SQL = f"select row_key, 'ok' as status, {', '.join(THEMES)} from wrapped_themes"
-part("wrapped_themes", f"""select row_key, {", ".join(
-    n if n != 'T1_TABLE' else '1 as T1_TABLE' for n in THEMES)} from reviews""")
+_CODEBOOK_SQL = f"""select row_key, case when coalesce(title, '') = '' and coalesce(review_text, '') = '' then 'empty' else 'ok' end
+  as status, {", ".join(THEMES)} from reviews"""
 
 
 @query("theme_codebook", _CODEBOOK_SQL)
 def theme_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coding job with the search codebook over whole texts. The text layout itself holds a bar, so
-    the table theme is always found here."""
+    """The coding job with the search codebook over whole titles and reviews."""
     return _codebook(coded_documents(spark, sf_dir, with_text=True))
 
 

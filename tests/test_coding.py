@@ -43,8 +43,45 @@ def test_function_labeller(reviews):
             return '{"T1_A": true, "T2_B": %d}' % ("Red" in prompt)
         return ask
 
-    got = result(coding.code_themes(reviews.repartition(3), coding.function_labeller(connect), THEMES))
+    coded = coding.code_themes(reviews.repartition(3), coding.function_labeller(connect), THEMES)
+    got = result(coded.drop("error_text"))
     assert got == {0: ("ok", 1, 1), 1: ("empty", 0, 0), 2: ("error", 0, 0), 3: ("ok", 1, 0)}
+    assert {r["row_key"]: r["error_text"] for r in coded.collect()} == {0: None, 1: None, 2: "TimeoutError: no answer", 3: None}
+
+
+def test_no_call_without_a_text(spark, reviews):
+    calls = spark.sparkContext.accumulator(0)
+
+    def connect():
+        def ask(prompt):
+            calls.add(1)
+            return "{}"
+        return ask
+
+    assert coding.code_themes(reviews, coding.function_labeller(connect), THEMES).collect()
+    assert calls.value == 3
+
+
+def test_search_does_not_see_the_layout(make):
+    bar = lambda text, lowered: {"T1_A": F.contains(text, F.lit("|")).cast("int"), "T2_B": F.contains(lowered, F.lit("title")).cast("int")}
+    rows = make([(0, "t", "x"), (1, "t", "a | b"), (2, "TITLE", None)], "row_key bigint, title string, review_text string")
+    got = result(coding.code_themes(rows, coding.codebook_labeller(bar), THEMES))
+    assert got == {0: ("ok", 0, 0), 1: ("ok", 1, 0), 2: ("ok", 0, 1)}
+
+
+def test_recorded_answers_do_not_move_texts(spark, reviews, make, tmp_path):
+    reviews.write.parquet(str(tmp_path / "reviews"))
+    reviews = spark.read.parquet(str(tmp_path / "reviews"))
+    answers = make([(0, "{}")], "row_key bigint, response string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = coding.code_themes(reviews, coding.recorded_labeller(answers), THEMES)
+        plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    join = plan[plan.index("Join"):plan.index("Filter", plan.index("Join"))]
+    assert "review_text" not in join and "title" not in join
 
 
 def test_missing_columns_are_empty_texts(make):
