@@ -61,7 +61,6 @@ MEMBER_SALTS = (43, 44, 45, 46, 47)
 TOP_DERIVED_FEATURES = 15
 CLAMP_LOW, CLAMP_HIGH = 1.0, 5.0
 BACKGROUND_ROWS = 80
-EXPLAIN_ROWS = 200
 PERTURBATIONS = 2500
 INSTANCE_POSITION = 10
 

@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.fixed_values import (
-    BACKGROUND_ROWS, CODEBOOK, EXPLAIN_ROWS, MAX_CHARS, METADATA_COLUMNS, PERTURBATIONS, SEED,
-    TOP_DERIVED_FEATURES,
+    BACKGROUND_ROWS, CODEBOOK, METADATA_COLUMNS, PERTURBATIONS, SEED, TOP_DERIVED_FEATURES,
 )
 from glosswork.functions import names
 from glosswork.operators import coding, lime, shap
@@ -23,7 +22,7 @@ from glosswork.operators import evaluate as ev
 from glosswork.operators import features as feat
 from glosswork.operators import split as sp
 from glosswork.operators.neural import SETUPS, NetConfig, NetMembers, add_indicators
-from glosswork.session import materialize
+from glosswork.session import materialize, scratch_path
 from glosswork.sources import sinks
 from glosswork.sources.csv import (
     dense_position, infer_types, read_csv_tolerant, require_columns, with_file_position,
@@ -31,6 +30,7 @@ from glosswork.sources.csv import (
 from glosswork.streaming.theme_stream import coded_rows
 
 ROW_KEY = "row_key"
+POSITION = "row_position"
 
 
 def load_reviews(spark: SparkSession, path: str | list[str], first_rows: int | None = None,
@@ -42,33 +42,57 @@ def load_reviews(spark: SparkSession, path: str | list[str], first_rows: int | N
     keyed = with_file_position(read.rows, ROW_KEY)
     if first_rows is not None:
         keyed = keyed.where(F.col(ROW_KEY) < first_rows)
-    return infer_types(materialize(keyed, "reviews")), read.bad_lines
+    return infer_types(keyed), read.bad_lines
 
 
 # ---- theme coding -------------------------------------------------------------------------------------
 
 def coding_job(spark: SparkSession, path: str | list[str], out: str, labeller: coding.TextLabeller,
                title: str = "Title", review: str = "Review Text", codebook: Mapping[str, str] = CODEBOOK,
-               first_rows: int | None = None, max_chars: int | None = MAX_CHARS,
-               retry: Sequence[str] = ()) -> DataFrame:
+               first_rows: int | None = None, max_chars: int | None = None,
+               retry: Sequence[str] = (), key: str | None = None, commits: int = 8) -> DataFrame:
     """Code the rows that have no result yet, then write the whole table as quoted CSV.
 
     ``out/coded`` is the record of progress: a second run labels only what is missing there, and what
-    has a status in ``retry``; each run adds one folder, and the newest result of a row counts.
+    has a status in ``retry``; the newest result of a row counts. The missing rows are coded in
+    ``commits`` parts, each one folder that is kept when a later part fails.
+
+    A result belongs to the text that was coded, so files may be added, removed or reordered between
+    runs, an edited review is coded again, and equal texts are labelled once. With ``key``, a column of
+    unique values, a result belongs to that value instead (rows without one go by their text). The
+    returned table has that identity as ``row_key`` and the place in the files as ``row_position``.
+    Lines with too many fields go to ``out/bad-lines``.
     """
-    df, _ = load_reviews(spark, path, first_rows)
+    df, bad = load_reviews(spark, path, first_rows)
+    df = df.withColumnRenamed(ROW_KEY, POSITION)
+    df = df.withColumn(ROW_KEY, review_identity(df, title, review, key))
     themes = list(codebook)
     before = coded_rows(spark, f"{out}/coded")
     rows = df if before is None else coding.pending_rows(df, latest_codes(before), ROW_KEY, retry)
     run = 0 if before is None else before.agg(F.max("run")).first()[0] + 1
-    coded = coding.code_themes(rows, labeller, themes, ROW_KEY, title=title, review=review,
-                               codebook=codebook, max_chars=max_chars)
-    coded.write.mode("overwrite").parquet(f"{out}/coded/run={run}")
+    fields = [F.col(f"`{c}`") for c in (title, review) if c in df.columns]
+    parted = rows.select(ROW_KEY, *fields).dropDuplicates([ROW_KEY]).withColumn(
+        "_part", F.pmod(F.xxhash64(ROW_KEY), F.lit(commits)))
+    pending = scratch_path(spark, "pending")
+    parted.write.partitionBy("_part").parquet(pending)
+    waiting = spark.read.schema(parted.schema).parquet(pending)
+    for part in range(commits):
+        coded = coding.code_themes(waiting.where(F.col("_part") == part).drop("_part"), labeller, themes, ROW_KEY,
+                                   title=title, review=review, codebook=codebook, max_chars=max_chars)
+        coded.write.mode("overwrite").parquet(f"{out}/coded/run={run + part}")
     full = coding.write_back(df, latest_codes(spark.read.parquet(f"{out}/coded")), themes, ROW_KEY)
-    sinks.write_quoted_csv(full.drop(ROW_KEY), f"{out}/reviews-csv/run={run}")
+    sinks.write_quoted_csv(full.drop(ROW_KEY, POSITION), f"{out}/reviews-csv/run={run}")
+    bad.write.json(f"{out}/bad-lines/run={run}")
     return full
 
 
+def review_identity(df: DataFrame, title: str, review: str, key: str | None = None) -> Column:
+    """What a result belongs to: a digest of title and review, or the text of ``key`` where there is one."""
+    parts = [F.col(f"`{c}`").cast("string") if c in df.columns else F.lit(None).cast("string") for c in (title, review)]
+    digest = F.sha2(F.to_json(F.array(*parts)), 256)
+    return digest if key is None else F.coalesce(F.concat(F.lit("key:"), F.col(f"`{key}`").cast("string")), digest)
+
+
 def latest_codes(coded: DataFrame) -> DataFrame:
     """The newest result of every row."""
     others = [c for c in coded.columns if c != ROW_KEY]
@@ -152,7 +176,8 @@ def prepare_explanation(spark: SparkSession, path: str | list[str], out: str, ta
     ``fit_on='train'`` keeps medians and feature choice away from the test rows; ``'all'`` uses every
     row for them.
     """
-    df, _ = load_reviews(spark, path, first_rows)
+    df, bad = load_reviews(spark, path, first_rows)
+    bad.write.json(f"{out}/bad-lines")
     df = feat.drop_missing_target(require_columns(df, [target]), target)
     df = feat.drop_metadata(df, target, metadata)
     facts = feat.column_facts(df, skip=[ROW_KEY])
@@ -218,9 +243,9 @@ def lime_job(spark: SparkSession, path: str | list[str], out: str, target: str =
 
 
 def shap_job(spark: SparkSession, path: str | list[str], out: str, target: str = "Rating",
-             explain_rows: int | None = EXPLAIN_ROWS, background_rows: int = BACKGROUND_ROWS,
+             explain_rows: int | None = None, background_rows: int = BACKGROUND_ROWS,
              config: NetConfig = SETUPS["bootstrap"], **options) -> DataFrame:
-    """SHAP values of the first ``explain_rows`` test rows (all of them with ``None``): importance,
+    """SHAP values of all test rows, or of the first ``explain_rows``: importance,
     points and waterfall steps as tables."""
     p = prepare_explanation(spark, path, out, target, config, clean_names=True, **options)
     train, test = (p.rows.where(F.col("split") == s) for s in ("train", "test"))

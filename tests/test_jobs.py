@@ -48,12 +48,72 @@ def test_coding_job_resumes(spark, review_file, tmp_path):
     full = jobs.coding_job(spark, review_file, out, coding.codebook_labeller(flags), **common)
     assert full.count() == 160 and full.where("T1_GOOD is null").count() == 0
     runs = {r["run"]: r["count"] for r in spark.read.parquet(f"{out}/coded").groupBy("run").count().collect()}
-    assert runs == {0: 60, 1: 100}
+    assert sum(n for run, n in runs.items() if run < 8) == 60 and sum(runs.values()) == 160
     assert full.agg(F.sum("T1_GOOD")).first()[0] == full.agg(F.sum("llm_mood")).first()[0]
-    text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/reviews-csv/run=1")
+    text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/reviews-csv/run=8")
     assert text.count() == 160 and "T1_GOOD" in text.columns
 
 
+def _reviews(folder, name, texts):
+    with open(folder / name, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows([["Title", "Review Text", "id"], *[["t", x, f"{name}{i}"] for i, x in enumerate(texts)]])
+        f.write("t,surplus,1,2\n")
+
+
+@pytest.mark.parametrize("key", [None, "id"])
+def test_coding_goes_on_after_files_were_added(spark, tmp_path, key):
+    """A file that sorts first moves every position; results stay with their reviews, and only new texts are asked."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    calls = spark.sparkContext.accumulator(0)
+
+    def connect():
+        def ask(prompt):
+            calls.add(1)
+            return '{"T1_GOOD": %d}' % ("good" in prompt.rsplit("Review:", 1)[1])
+        return ask
+
+    def run():
+        start = calls.value
+        full = jobs.coding_job(spark, str(folder), out, coding.function_labeller(connect), codebook={"T1_GOOD": "Says so."}, key=key)
+        rows = full.collect()
+        assert all(r["T1_GOOD"] == ("good" in (r["Review Text"] or "")) for r in rows)
+        assert sorted(r["row_position"] for r in rows) == list(range(len(rows)))
+        return len(rows), calls.value - start
+
+    _reviews(folder, "b.csv", ["good one", "bad", "good two", "worse", "bad"])
+    assert run() == (5, 4 if key is None else 5)
+    _reviews(folder, "a.csv", ["new good", "new"])
+    assert run() == (7, 2)
+    assert run() == (7, 0)
+    assert spark.read.json(f"{out}/bad-lines").count() == 1 + 2 + 2
+
+
+def test_finished_parts_of_a_failed_coding_run_are_kept(spark, tmp_path):
+    folder, out, broken = tmp_path / "in", str(tmp_path / "out"), tmp_path / "broken"
+    folder.mkdir()
+    broken.touch()
+    _reviews(folder, "b.csv", [f"text {i}" for i in range(40)])
+
+    class Failing:
+        parts = 0
+
+        def __call__(self, rows):
+            self.parts += 1
+            if self.parts == 3 and broken.exists():
+                raise RuntimeError("killed")
+            return rows.withColumn("response", F.lit("{}"))
+
+    with pytest.raises(RuntimeError, match="killed"):
+        jobs.coding_job(spark, str(folder), out, Failing(), codebook={"T1_GOOD": "x"}, commits=4)
+    kept = spark.read.parquet(f"{out}/coded").count()
+    assert 0 < kept < 40
+    broken.unlink()
+    jobs.coding_job(spark, str(folder), out, Failing(), codebook={"T1_GOOD": "x"}, commits=4)
+    coded = spark.read.parquet(f"{out}/coded")
+    assert coded.count() == coded.select("row_key").distinct().count() == 40
+
+
 def test_experiment_job(spark, review_file, tmp_path):
     out = str(tmp_path / "out")
     result = jobs.experiment_job(spark, review_file, out, themes=False, setup=replace(SETUPS["tabular"], epochs=20), **QUICK)
