@@ -23,7 +23,7 @@ from glosswork.llm.common import materialize, ship_by_value, text_of, texts_in
 from glosswork.llm.vocab import REMEMBER, ByteCoder
 
 #: Characters of text after which a block ends.
-BLOCK = 1 << 22
+BLOCK = 1 << 24
 #: How the vocabulary writes a word without and with a blank before it.
 _BLANK = ("", "\u0120")
 
