@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from glosswork.llm.common import joined_spans, let, prefix_sums, text_of
 
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
+_SPANS = "array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>"
 #: Characters before and after a match in which context words count.
 CONTEXT = 48
 
@@ -48,7 +49,8 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # only the first four characters are read over; the group has all that may follow, and _number_end says how much does
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))",
          "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|bank|konto|cuenta|compte"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3,
          "ssn|social|security|national|identity|id"),
@@ -56,6 +58,12 @@ ADDED = (
          "password|passwd|secret|token|api[_ -]?key|akia"),
 )
 THRESHOLD = 0.5
+#: Fixed value: characters of an account number by its country code. Of other countries any number of 15 to 34 counts.
+_LENGTHS = {code: size for size, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for code in codes.split()}
 
 
 def _digits(match: Column) -> Column:
@@ -81,6 +89,28 @@ def _mod97(match: Column) -> Column:
         F.lit(0), step)) == 1
 
 
+def _number_end(head: Column, tail: Column) -> Column:
+    """How many characters of ``tail`` belong to the account number that starts with ``head``: those of the longest part that
+    ends with its word, has a length that the country allows and passes the check; none if there is no such part."""
+    known = F.create_map(*[F.lit(x) for pair in _LENGTHS.items() for x in pair])
+    size = F.try_element_at(known, F.left(head, F.lit(2)))
+
+    def fits(end: Column) -> Column:
+        number = F.concat(head, F.substr(tail, F.lit(1), end))
+        bare = F.length(F.replace(number, F.lit(" "), F.lit("")))
+        return (F.substr(tail, end, F.lit(1)) != " ") & ~F.substr(tail, end + 1, F.lit(1)).rlike("[A-Za-z0-9]") & bare.between(
+            15, 34) & (bare == F.coalesce(size, bare)) & _mod97(number)
+
+    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.char_length(tail)), fits)), F.lit(0))
+
+
+def _apart(spans: Column) -> Column:
+    """The spans that don't begin inside an earlier one that stays."""
+    return F.aggregate(spans, F.array().cast(_SPANS), lambda done, s: F.when(
+        (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"]), done).otherwise(
+            F.concat(done, F.array(s).cast(_SPANS))))
+
+
 def _valid(kind: Kind, match: Column) -> Column | None:
     if kind.name == "ip":
         return match.rlike(f"^{_BYTE}(?:\\.{_BYTE}){{3}}$")
@@ -88,8 +118,6 @@ def _valid(kind: Kind, match: Column) -> Column | None:
         return let(_digits(match), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
     if kind.name == "phone":
         return F.length(_digits(match)).between(10, 15)
-    if kind.name == "iban":
-        return _mod97(match)
     if kind.name == "secret":  # a hexadecimal word has both letters and digits; a number alone is none
         return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return None
@@ -99,29 +127,32 @@ def _found(kind: Kind, order: int, text: Column) -> Column:
     """The kind's valid spans, in order: an array of (start, ord, end, kind, score)."""
     pattern = F.lit(kind.pattern)
 
-    def spans(matches: Column, between: Column) -> Column:
+    def spans(matches: Column, between: Column, more: Column | None = None) -> Column:
         # start of match i: the lengths of the i + 1 texts before it and of the i matches before it
         steps = F.zip_with(between, matches, lambda b, m: F.char_length(b) + F.coalesce(F.char_length(m), F.lit(0)))
         return let(prefix_sums(F.transform(steps, lambda x: x.cast("long"))), lambda before: F.filter(
-            F.transform(matches, lambda m, i: span(m, i, before, between)), lambda s: s["score"] >= THRESHOLD))
+            F.transform(matches, lambda m, i: span(m, i, before, between) if more is None else let(
+                _number_end(m, more[i]), lambda n: span(m, i, before, between, n))), lambda s: s["score"] >= THRESHOLD))
 
-    def span(match: Column, i: Column, before: Column, between: Column) -> Column:
+    def span(match: Column, i: Column, before: Column, between: Column, longer: Column | None = None) -> Column:
         start = before[i] + F.char_length(between[i])
+        after = between[i + 1] if longer is None else F.substr(between[i + 1], longer + 1)
         score = F.lit(kind.prior)
         if kind.context:
             near = F.lower(F.concat(F.right(between[i], F.lit(CONTEXT)), F.lit(" "), F.left(match, F.lit(4)), F.lit(" "),
-                                    F.left(between[i + 1], F.lit(CONTEXT))))
+                                    F.left(after, F.lit(CONTEXT))))
             score = F.when(near.rlike(f"(?<![a-z])(?:{kind.context})(?![a-z])"), kind.prior + kind.bonus).otherwise(score)
-        valid = _valid(kind, match)
+        valid = _valid(kind, match) if longer is None else longer > 0
         if valid is not None:
             score = F.when(valid, score).otherwise(0.0)
-        return F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + F.char_length(match)).alias("end"),
+        return F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + F.char_length(match) + (
+            F.lit(0) if longer is None else longer)).alias("end"),
                         F.lit(kind.name).alias("kind"), score.cast("double").alias("score"))
 
-    none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>")
-    some = let(F.regexp_extract_all(text, pattern, F.lit(0)),
-               lambda m: let(F.split(text, kind.pattern, -1), lambda b: spans(m, b)))
-    return F.when(text.rlike(kind.hint), some).otherwise(none)
+    none = F.array().cast(_SPANS)
+    some = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: let(F.split(text, kind.pattern, -1), lambda b: (
+        spans(m, b) if kind.name != "iban" else let(F.regexp_extract_all(text, pattern, F.lit(1)), lambda t: spans(m, b, t)))))
+    return F.when(text.rlike(kind.hint), some if kind.name != "iban" else _apart(some)).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
@@ -136,7 +167,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", name: str = "pii") -> Da
     kinds = (*BASE, *ADDED)
     found = F.concat(*[_found(kind, i, text) for i, kind in enumerate(kinds)])
     return docs.withColumn(name, F.when(text == "", F.array().cast(
-        "array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>")).otherwise(F.sort_array(found)))
+        _SPANS)).otherwise(F.sort_array(found)))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,22 @@ def test_added_kinds_need_a_checksum_or_context(make, text, kinds):
     assert [s["kind"] for s in df.first()["pii"]] == kinds
 
 
+@pytest.mark.parametrize("text,numbers", [
+    ("DE89370400440532013000 Please pay", ["DE89370400440532013000"]),
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+    ("to GB82 WEST 1234 5698 7654 32 2024 A", ["GB82 WEST 1234 5698 7654 32"]),
+    ("DE89370400440532013000 GB82WEST12345698765432 NO93 8601 1117 947 X", [
+        "DE89370400440532013000", "GB82WEST12345698765432", "NO93 8601 1117 947"]),
+    ("😀 MT84MALT011000012345MTLCAST001S, 5", ["MT84MALT011000012345MTLCAST001S"]),
+    ("ZZ33 1234 5678 9012 345 And", ["ZZ33 1234 5678 9012 345"]),  # a country without a known length
+    ("DE89370400440532013000Please DE8937040044053201300 0 x DE893704004405320130001 DE88370400440532013000 Please", ["DE8937040044053201300 0"]),
+])
+def test_account_numbers_with_something_after_them(make, text, numbers):
+    row = pii.redact(pii.with_spans(make([(text, text)], "text string, original string"))).first()
+    assert [text[s["start"]:s["end"]] for s in row["pii"] if s["kind"] == "iban"] == numbers
+    assert not any(n in row["text"] for n in numbers)
+
+
 def test_redact_overlaps_nulls_and_extra_columns(make):
     rows = [(1, None, "k"), (2, "no", "k"), (3, "call +1 2.3.4.5 678 9990 or a@b.co 😀", "k"), (3, "x 1.2.3.4", "k"), (3, "x 1.2.3.4", "k")]
     df = pii.redact(pii.with_spans(make(rows, "doc_id long, text string, kind string")))
