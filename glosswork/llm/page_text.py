@@ -25,7 +25,7 @@ RAW = set("script style xmp iframe noembed noframes noscript textarea title temp
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul
 br option""".split())
-DROPPED = set("""head script style noscript template iframe object embed applet svg canvas nav aside footer form button select
+DROPPED = set("""head script style noscript template iframe object embed applet svg canvas nav aside footer button select
 textarea input label fieldset dialog menu title xmp noembed noframes audio video map""".split())
 #: An element of the first kind ends open elements of the second, up to the nearest of the third.
 ENDS = {
@@ -42,13 +42,17 @@ _NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banners?|sp
 notices?|newsletters?|subscri\w*|signup|shar(?:e|ing)|socials?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|
 comments?|commentlist|disqus|repl(?:y|ies)|respond|reactions|related|recommend\w*|popups?|modals?|overlay|widgets?|toolbars?|paginat\w*|
 pager|login|search)(?:$|[\s_-])""", re.X | re.I)
-#: Of these, names that also the wrapper of a whole page may have.
+#: Of these, names that the wrapper of an article often has beside its own.
 _WRAPPERS = re.compile(r"(?:^|[\s_-])(?:sidebars?|menus?|nav|navbar|footers?|widgets?|login|search|overlay|banners?|ads?|shar(?:e|ing)|socials?)(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 
 
+#: Classes that tell a state or a layout and not what an element is.
+_STATES = re.compile(r"(?<!\S)(?:(?:has|no|with|without)-\S+|\S+-(?:open|closed|enabled|disabled|on|off))(?!\S)", re.I)
+
+
 class Node:
     __slots__ = ("tag", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
@@ -59,8 +63,10 @@ class Node:
 
 
 def _named_away(tag: str, attributes: str) -> int:
-    """Whether an element's role, name or state says that it isn't part of an article: 2 if surely, 1 if not so for the
-    wrapper of a page, 0 if not."""
+    """Whether an element's role, name or state says that it isn't part of an article: 2 if surely, 3 by a name or 1 by one
+    that wrappers have, both of which ``_prune`` looks at again, 0 if not."""
+    if not attributes and tag == "form":
+        return 3
     if not attributes or tag in ("html", "body", "main", "article"):
         hidden = {k.lower() for k, _ in _ATTRIBUTE.findall(attributes)} if attributes else ()
         if tag != "article" or not attributes:
@@ -71,9 +77,11 @@ def _named_away(tag: str, attributes: str) -> int:
             return 2
         if name == "role" and value.lower() in ROLES:
             return 2
+        if name == "class":
+            value = _STATES.sub(" ", value)
         if name in ("class", "id") and _NAMES.search(value):
-            return 1 if _WRAPPERS.search(value) else 2
-    return 0
+            return 1 if _WRAPPERS.search(value) else 3
+    return 3 * (tag == "form")
 
 
 def parse(page: str) -> Node:
@@ -156,20 +164,26 @@ def _preorder(root: Node) -> list[Node]:
     return out
 
 
-def _text_size(node: Node) -> int:
-    total, stack = 0, [node]
+def _sizes(root: Node) -> tuple[dict[Node, int], set[Node]]:
+    """The characters under each node, without those that no mark can bring back, and the nodes above an article."""
+    order, stack = [], [root]
     while stack:
-        for part in stack.pop().parts:
-            if isinstance(part, str):
-                total += len(part.strip())
-            elif part.tag not in RAW:
-                stack.append(part)
-    return total
+        node = stack.pop()
+        order.append(node)
+        stack += [p for p in node.parts if isinstance(p, Node)]
+    sizes, above = {}, set()
+    for node in reversed(order):  # children first
+        inner = [p for p in node.parts if isinstance(p, Node)]
+        sizes[node] = sum(len(p.strip()) for p in node.parts if isinstance(p, str)) + sum(sizes[p] for p in inner if p.drop != 2)
+        if any(p in above or p.tag in ("article", "main") and not p.drop for p in inner):
+            above.add(node)
+    return sizes, above
 
 
 def _prune(root: Node) -> None:
-    """Keep an element that only a name marks if it holds an article or most of the page's text."""
-    whole, stack = None, [(root, False)]
+    """Keep an element that only a name marks if it holds most of the page's text, or is named as wrappers are, or a form, and
+    holds an article."""
+    found, stack = None, [(root, False)]
     while stack:
         node, in_article = stack.pop()
         for part in node.parts:
@@ -179,24 +193,15 @@ def _prune(root: Node) -> None:
             if part.tag == "header":
                 if not inside:
                     part.drop = 2
-            elif part.drop == 1:
-                inner = _preorder_all(part)
-                whole = _text_size(root) if whole is None else whole
-                named = part.tag != "article" and any(n.tag in ("article", "main") and not n.drop for n in inner)
-                part.drop = int(not (named or 5 * _text_size(part) > 4 * whole > 0))
+            elif part.drop in (1, 3):
+                sizes, above = found = found or _sizes(root)
+                holds = part.tag != "article" and part in above and (part.drop == 1 or part.tag == "form")
+                most = (5 * sizes[part] > 4 * sizes[root] if part.drop == 1 else 2 * sizes[part] > sizes[root]) and sizes[part] > 0
+                part.drop = 0 if holds or most else 2
             if not part.drop:
                 stack.append((part, inside))
 
 
-def _preorder_all(root: Node) -> list[Node]:
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        out.append(node)
-        stack += [p for p in node.parts if isinstance(p, Node)]
-    return out
-
-
 def _measure(order: list[Node]) -> None:
     """Characters, tags and those of links under each node, its density, and the sum of its children's densities."""
     for node in reversed(order):  # children first

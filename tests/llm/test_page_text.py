@@ -32,6 +32,18 @@ def test_article_without_the_rest(around):
     assert page_text.main_text(page(PARAGRAPHS, around)) == WANT
 
 
+@pytest.mark.parametrize("around", [
+    "<form action='/x'><div class='nav'>" + MENU + "</div><div>{}</div></form>",
+    "<form><div role=navigation>" + MENU + "</div><article>{}</article><p>" + LOREM * 9 + "</p><div class=promo>" + LOREM + "</div></form>",
+    "<div class='post comments-open'>{}</div><div class='comments'>" + LOREM + "</div>",
+    "<ul>" + MENU + "</ul><article class='hentry comments-open'>{}</article>",
+    "<div class='related'><div>{}</div></div>", "<article class='newsletter promo'>{}</article><nav>" + MENU * 9 + "</nav>",
+])
+def test_a_name_or_a_form_around_the_article(around):
+    text = page_text.main_text(page(PARAGRAPHS, around))
+    assert WANT in text and "Item" not in text and len(text) < len(WANT) + 10 * len(LOREM)
+
+
 def test_inline_markup_and_white_space():
     inside = "<article><h1>A  title</h1><p>One <b>two</b>three<br>four\n\tfive&nbsp;&eacute;&#233;&lt;p&gt;<p>six<ul><li>a<li>b</ul></article>"
     assert page_text.main_text(page(inside)) == "A title One twothree four five éé<p> six a b"
