@@ -246,22 +246,25 @@ def main_nodes(root: Node) -> list[Node]:
     best = _strongest(order)
     if best.sum == 0:
         return [top]
-    up, article, threshold = best, None, best.density
+    up, article, region, threshold = best, None, None, best.density
     while True:
         threshold = min(threshold, up.density)
-        if up.tag in ("article", "main"):
+        if up.tag == "article":
             article = up
+        if up.tag in ("article", "main"):
+            region = up
         if up is top:
             break
         up = up.parent
-    if article is not None:
-        return [article]  # the page itself says how far the article goes
+    best = article or best  # the page itself says how far the article goes; other parts still need the density
     marked, stack = [], [top]
+    titles = {n for n in _preorder(region) if n.tag == "h1"} if region is not None else set()
     while stack:
         node = stack.pop()
-        if node is best or node is not top and not _above(node, best) and node.density >= threshold and node.chars and node.tag in BLOCK:
+        if node is best or node in titles or node is not top and not _above(node, best) and (
+                node.density >= threshold and node.chars and node.tag in BLOCK):
             marked.append(node)
-        else:
+        elif node.tag != "a" or _above(node, best):  # what is inside a link has no density of its own
             stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.drop]
     return marked
 

@@ -44,6 +44,20 @@ def test_a_name_or_a_form_around_the_article(around):
     assert WANT in text and "Item" not in text and len(text) < len(WANT) + 10 * len(LOREM)
 
 
+def test_main_with_unnamed_blocks_around_the_article():
+    teasers = "".join(f"<div><a href='/{i}'><h3>Teaser {i}</h3>Read on</a> <span>by</span> <i>me</i></div>" for i in range(9))
+    for inner in ("<article><h1>Title</h1>{}</article>", "<header><h1>Title</h1></header><div>{}</div>"):
+        around = f"<main>{inner}<section>{teasers}</section><div><ul>{MENU}</ul></div></main>"
+        assert page_text.main_text(page(PARAGRAPHS, around)) == "Title " + WANT
+
+
+def test_several_articles():
+    parts = [f"<article><h2>Part {i}</h2>{PARAGRAPHS * n}</article>" for i, n in ((1, 1), (2, 2), (3, 1))]
+    want = " ".join(f"Part {i} " + " ".join([WANT] * n) for i, n in ((1, 1), (2, 2), (3, 1)))
+    assert page_text.main_text(page("".join(parts), f"<ul>{MENU}</ul>{{}}")) == want
+    assert page_text.main_text(page("".join(parts), f"<main>{{}}<div><ul>{MENU}</ul></div></main>")) == want
+
+
 def test_inline_markup_and_white_space():
     inside = "<article><h1>A  title</h1><p>One <b>two</b>three<br>four\n\tfive&nbsp;&eacute;&#233;&lt;p&gt;<p>six<ul><li>a<li>b</ul></article>"
     assert page_text.main_text(page(inside)) == "A title One twothree four five éé<p> six a b"
