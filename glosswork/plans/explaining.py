@@ -266,20 +266,20 @@ def fitted_net(spark: SparkSession, sf_dir: str, setup: str = "bootstrap", epoch
 @query("ensemble_fit_mlp")
 def ensemble_fit_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the trained members: one row per member, layer and kind."""
-    model, _ = fitted_net(spark, sf_dir, "decay", 60)
+    model, _ = fitted_net(spark, sf_dir, "decay")
     return model.table(spark)
 
 
 @query("training_history")
 def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = fitted_net(spark, sf_dir, "bootstrap", 60)
+    model, _ = fitted_net(spark, sf_dir, "bootstrap")
     return model.history_table(spark)
 
 
 @query("ensemble_score_mlp")
 def ensemble_score_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rated row with mean, spread, interval and band shares of the neural ensemble."""
-    model, df = fitted_net(spark, sf_dir, "bootstrap", 60)
+    model, df = fitted_net(spark, sf_dir, "bootstrap")
     return model.score(df).select("row_key", "split", "rating", *[
         c.alias(n) for n, c in ens.summary_columns(len(model.members)).items()])
 
@@ -308,7 +308,7 @@ def experiment_compare_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shap_values_mlp")
 def shap_values_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHAP values of the neural ensemble for every rated test row."""
-    model, df = fitted_net(spark, sf_dir, "bootstrap", 60)
+    model, df = fitted_net(spark, sf_dir, "bootstrap")
     background = shap.collect_background(sp.background_sample(train_part(df), BACKGROUND_ROWS), _INPUTS)
     explained = shap.shap_in_batches(_test_part(df), background, _INPUTS, model.predict)
     return shap.beeswarm_points(explained, _INPUTS)
@@ -317,7 +317,7 @@ def shap_values_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lime_explain_mlp")
 def lime_explain_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIME lines of the neural ensemble for every rated test row."""
-    model, df = fitted_net(spark, sf_dir, "decay", 60)
+    model, df = fitted_net(spark, sf_dir, "decay")
     k = len(model.members)
     bins = lime.QuartileBins.fit(train_part(df), _INPUTS)
     drawn = lime.draw_bins(bins)
