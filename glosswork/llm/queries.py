@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import bpe_tree, code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash, token_counts
+from glosswork.llm import (
+    bpe_tree, code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash, token_counts, whitening)
 from glosswork.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,10 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_code_index")
 def op10_code_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, most=20)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=8)
+    # a sum beyond a long has no value in this digest; the operator itself returns a decimal
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
