@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm import (
-    bpe_tree, code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash, token_counts, whitening)
+    bpe_tree, code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash, token_alignment, token_counts,
+    whitening)
 from glosswork.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=8)
     # a sum beyond a long has no value in this digest; the operator itself returns a decimal
     return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
