@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ REMEMBER = 300_000
 #: A blank after no blank and before a plain character: here the tokens of both sides end.
 _CUT = re.compile(r"(?<=[^ ])(?= [!-~À-ɏ])")
 _ODD_BLANK = re.compile(r" (?![!-~À-ɏ])")
+_PLAIN_WORD = re.compile(r"[!-~À-ɏ][\n!-~À-ɏ]*")
 
 
 # ---- the merge
@@ -102,17 +104,41 @@ class Coders:
         self.b_sizes = np.array([len(p) for p in self.piece_bytes], np.int64)
         self._known: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        if len(self._known) > REMEMBER:
-            self._known = {}
-        known = self._known
-        new = [w for w in set(words) if w not in known]
-        for word, b in zip(new, self._pieces.encode(new, num_threads=1) if new else []):
+    def _joined(self, words: list[str]) -> None:
+        """Learn words without blanks: both sides end a token between any two of them, so they are encoded in a row."""
+        text = " " + " ".join(words)
+        want = text.encode()
+        a = np.array(self._bytes._fast.encode_ordinary(text), "<u4")
+        b = np.array(self._pieces.encode(text[1:]), "<u4")
+        if b"".join(map(self.piece_bytes.__getitem__, b.tolist())) != want:
+            return self._singly(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) if len(want) == len(text) else np.cumsum(
+            [len(w.encode()) + 1 for w in words])
+        cuts = [np.searchsorted(np.cumsum(sizes[ids]), ends) + 1 for sizes, ids in ((self.a_sizes, a), (self.b_sizes, b))]
+        a, b = a.tobytes(), b.tobytes()
+        i = j = 0
+        for word, i_end, j_end in zip(words, (4 * cuts[0]).tolist(), (4 * cuts[1]).tolist()):
+            self._known[word] = (a[i:i_end], b[j:j_end])
+            i, j = i_end, j_end
+
+    def _singly(self, words: list[str]) -> None:
+        for word, b in zip(words, self._pieces.encode(words, num_threads=1)):
             a, want = self._bytes._ids(" " + word), (" " + word).encode()
             same = b"".join(map(self._bytes.table.__getitem__, np.frombuffer(a, "<u4").tolist())) == want and b"".join(
                 map(self.piece_bytes.__getitem__, b)) == want
-            known[word] = (a, np.array(b, "<u4").tobytes()) if same else None
-        return known
+            self._known[word] = (a, np.array(b, "<u4").tobytes()) if same else None
+
+    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        if len(self._known) > REMEMBER:
+            self._known = {}
+        plain, other = [], []
+        for word in set(words).difference(self._known):
+            (plain if _PLAIN_WORD.fullmatch(word) else other).append(word)
+        if plain:
+            self._joined(plain)
+        if other:
+            self._singly(other)
+        return self._known
 
     def encode(self, text: str) -> Iterator[tuple[bytes, bytes] | None]:
         """Both sides' ids of a blank and a text, in parts of about ``SLICE`` characters between which both sides end a token.
@@ -142,19 +168,24 @@ class Writer:
 
     def __init__(self, size: int):
         self._digits, self._lengths = _digits(size)
-
-    def write(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The text, with a semicolon after each group, and where each group ends in it."""
-        key = np.concatenate([2 * a_group, 2 * b_group + 1])
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], np.concatenate([a, b])[order]
+        width = self._digits.shape[1]
+        self._filled = np.arange(width)[None, :] <= np.arange(width)[:, None]
+
+    def write(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text, with a semicolon after each group, and where each group ends in it; groups end after so many ids of each side."""
+        total = a_cut + b_cut
+        a_last, b_last = a_cut + np.append(0, b_cut[:-1]) - 1, total - 1  # places of the last id of each side of a group
+        first = np.zeros(len(a) + len(b), bool)
+        starts, a_sizes = np.append(0, total[:-1]), np.diff(a_cut, prepend=0)
+        first[:] = np.repeat(np.stack([np.ones(len(a_cut), bool), np.zeros(len(a_cut), bool)], 1).ravel(), np.stack(
+            [a_sizes, total - starts - a_sizes], 1).ravel())
+        ids = np.empty(len(first), np.int64)
+        ids[first], ids[~first] = a, b
+        separator = np.full(len(ids), ord(","), np.uint8)
+        separator[a_last], separator[b_last] = ord("|"), ord(";")
         rows, lengths = self._digits[ids], self._lengths[ids]
-        later = np.append(key[1:], -1)
-        separator = np.where(later == key, ord(","), np.where(later == key + 1, ord("|"), ord(";")))
-        separator[(later == key + 1) & (key % 2 == 1)] = ord(";")
         rows[np.arange(len(rows)), lengths] = separator
-        text = rows[np.arange(rows.shape[1]) <= lengths[:, None]]
-        return text, np.cumsum(lengths + 1)[separator == ord(";")]
+        return rows[self._filled[lengths]], np.cumsum(lengths + 1)[b_last]
 
 
 @dataclass
@@ -204,13 +235,11 @@ class _Block:
         self._waiting, self._held = [], 0
         left, right, closes = aligned(np.cumsum(coders.a_sizes[a]), np.cumsum(coders.b_sizes[b]))
         pairs = a[left] << 32 | b[right]
-        group = np.cumsum(closes)
-        a_group, b_group = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        a_group[left], b_group[right] = group - closes, group - closes
-        text, ends = self._writer.write(a, b, a_group, b_group)
+        a_cut, b_cut = left[closes] + 1, right[closes] + 1
+        text, ends = self._writer.write(a, b, a_cut, b_cut)
         # every part of a document ends with a group
         links_of = np.searchsorted(left, a_of)
-        groups_of = a_group[a_of - 1] + 1
+        groups_of = np.searchsorted(a_cut, a_of) + 1
         start = [0, 0, 0, 0, 0]
         for k, document in enumerate(documents):
             end = [int(a_of[k]), int(b_of[k]), int(groups_of[k]), int(links_of[k]), int(ends[groups_of[k] - 1])]
@@ -227,14 +256,15 @@ class _Block:
         self._align()
         none = np.zeros(0, np.int64)
         links = [np.concatenate(d.links) if d.whole and d.links else none for d in self.documents]
-        pairs, places, counts = np.unique(np.concatenate([none, *links]), return_inverse=True, return_counts=True)
+        places, pairs = pd.factorize(np.concatenate([none, *links]))
+        counts = np.bincount(places, minlength=len(pairs))
         whole = [d.whole for d in self.documents]
         offsets = np.append(0, np.cumsum([len(x) for x in links]))
         numbers = [[getattr(d, name) if w else 0 for d, w in zip(self.documents, whole)] for name in ("a", "b", "groups")]
         rows = pa.StructArray.from_arrays([
             pa.array([d.key for d in self.documents], kind), *[pa.array(x, pa.int64()) for x in numbers],
             pa.array([d.digest.hexdigest() if w and d.a else "" for d, w in zip(self.documents, whole)]),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places.ravel(), pa.int32()))],
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))],
             ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(pa.array(pairs, pa.int64())), one(
