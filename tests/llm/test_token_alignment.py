@@ -60,11 +60,14 @@ def brute(sides, rows):
                 j += 1
         counts.update(links)
         ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
-        groups, start = [], 0
+        groups, i, j = [], 0, 0
         for end in ends:
-            side = lambda x: ",".join(str(i) for i, s, e in x if s >= start and e <= end)  # noqa: E731, B023
-            groups.append(f"{side(a)}|{side(b)}")
-            start = end
+            first = i, j
+            while i < len(a) and a[i][2] <= end:
+                i += 1
+            while j < len(b) and b[j][2] <= end:
+                j += 1
+            groups.append("|".join(",".join(str(x[0]) for x in side) for side in (a[first[0]:i], b[first[1]:j])))
         found.append((key, len(a), len(b), len(groups), links, ";".join(groups)))
     most = Counter()
     for (_, b), n in counts.items():
