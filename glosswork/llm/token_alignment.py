@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,11 +27,11 @@ from glosswork.llm.common import materialize, ship_by_value, text_of, texts_in
 from glosswork.llm.vocab import ByteCoder
 
 #: Characters of text that are aligned at a time, and those after which a block ends.
-SLICE, BLOCK = 1 << 20, 1 << 23
+SLICE, BLOCK = 1 << 18, 1 << 22
 #: Ends that one piece of a merge takes.
 WORK = 1 << 16
 #: Chunks whose tokens are remembered in a task; then the memory is emptied.
-REMEMBER = 300_000
+REMEMBER = 150_000
 #: A blank after no blank and before a plain character: here the tokens of both sides end.
 _CUT = re.compile(r"(?<=[^ ])(?= [!-~À-ɏ])")
 _ODD_BLANK = re.compile(r" (?![!-~À-ɏ])")
@@ -256,10 +255,12 @@ class _Block:
         self._align()
         none = np.zeros(0, np.int64)
         links = [np.concatenate(d.links) if d.whole and d.links else none for d in self.documents]
-        places, pairs = pd.factorize(np.concatenate([none, *links]))
+        offsets, links = np.append(0, np.cumsum([len(x) for x in links])), np.concatenate([none, *links])
+        pairs = np.sort(links)
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        places = np.searchsorted(pairs, links)
         counts = np.bincount(places, minlength=len(pairs))
         whole = [d.whole for d in self.documents]
-        offsets = np.append(0, np.cumsum([len(x) for x in links]))
         numbers = [[getattr(d, name) if w else 0 for d, w in zip(self.documents, whole)] for name in ("a", "b", "groups")]
         rows = pa.StructArray.from_arrays([
             pa.array([d.key for d in self.documents], kind), *[pa.array(x, pa.int64()) for x in numbers],
