@@ -255,7 +255,7 @@ class _Block:
         self._align()
         none = np.zeros(0, np.int64)
         links = [np.concatenate(d.links) if d.whole and d.links else none for d in self.documents]
-        offsets, links = np.append(0, np.cumsum([len(x) for x in links])), np.concatenate([none, *links])
+        sizes, links = [len(x) for x in links], np.concatenate([none, *links])
         pairs = np.sort(links)
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         places = np.searchsorted(pairs, links)
@@ -263,13 +263,18 @@ class _Block:
         whole = [d.whole for d in self.documents]
         numbers = [[getattr(d, name) if w else 0 for d, w in zip(self.documents, whole)] for name in ("a", "b", "groups")]
         rows = pa.StructArray.from_arrays([
-            pa.array([d.key for d in self.documents], kind), *[pa.array(x, pa.int64()) for x in numbers],
-            pa.array([d.digest.hexdigest() if w and d.a else "" for d, w in zip(self.documents, whole)]),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))],
-            ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+            pa.array([d.key for d in self.documents], kind), *[pa.array(x, pa.int64()) for x in [*numbers, sizes]],
+            pa.array([d.digest.hexdigest() if w and d.a else "" for d, w in zip(self.documents, whole)])],
+            ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(pa.array(pairs, pa.int64())), one(
-            pa.array(counts, pa.int64())), one(rows)], ["block", "pairs", "counts", "documents"])
+        return pa.RecordBatch.from_arrays([
+            pa.array([number], pa.int64()), one(pa.array(pairs, pa.int64())), one(pa.array(counts, pa.int64())), one(rows),
+            pa.array([places.astype(_kind(len(pairs))).tobytes()], pa.binary())], ["block", "pairs", "counts", "documents", "links"])
+
+
+def _kind(pairs: int) -> str:
+    """How places in a list of so many pairs are written."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
 
 
 def _blocks(byte_path: str, piece_path: str, size: int):
@@ -298,15 +303,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             documents = batch.column(0).slice(row, 1).flatten()
-            totals, best = (batch.column(k).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
-            links = documents.field(5)
-            places = links.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pa.compute.list_value_length(links).to_numpy(zero_copy_only=False))
-            sizes = np.diff(ends, prepend=0)
-            total = lambda values: np.diff(np.append(0, np.cumsum(values.astype(np.int64)))[np.append(0, ends)])
-            columns = [documents.field(k) for k in range(4)]
-            numbers = [pa.array(x, pa.int64()) for x in (sizes, total(best[places]), total(totals[places]))]
-            yield pa.RecordBatch.from_arrays([*columns, *numbers, documents.field(4)], ["id", *_COUNTS, "groups_sha256"])
+            totals, best = (batch.column(k).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+            places = np.frombuffer(batch.column(1)[row].as_py(), _kind(len(totals)))
+            ends = np.append(0, np.cumsum(documents.field(4).to_numpy(zero_copy_only=False)))
+            sums = [np.diff(np.append(0, np.cumsum(values[places].astype(np.int64)))[ends]) for values in (best, totals)]
+            yield pa.RecordBatch.from_arrays([*[documents.field(k) for k in range(5)], *[pa.array(x, pa.int64()) for x in sums],
+                                              documents.field(5)], ["id", *_COUNTS, "groups_sha256"])
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -324,7 +326,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     kind = wanted.schema["id"].dataType.simpleString()
     blocks = materialize(wanted.mapInArrow(_blocks(byte_path, piece_path, block), (
         f"block long, pairs array<long>, counts array<long>, documents array<struct<id: {kind}, n_a: long, n_b: long, "
-        "n_groups: long, groups_sha256: string, links: array<int>>>")), "aligned")
+        "n_groups: long, n_links: long, groups_sha256: string>>, links binary")), "aligned")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select(
         "block", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     totals = materialize(listed.groupBy("pair").agg(F.sum("n").alias("total")).withColumn(
@@ -332,8 +334,8 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     judged = totals.join(totals.groupBy("b").agg(F.max("total").alias("most")), "b").select(
         "pair", "total", (F.col("total") == F.col("most")).alias("best"))
     numbers = listed.join(judged, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "total", "best"))).alias("x"))
-    held = blocks.select("block", "documents").join(numbers, "block", "left").select(
-        "documents", *[F.coalesce(F.col("x")[name], F.array().cast(t)).alias(name) for name, t in (
+    held = blocks.select("block", "documents", "links").join(numbers, "block", "left").select(
+        "documents", "links", *[F.coalesce(F.col("x")[name], F.array().cast(t)).alias(name) for name, t in (
             ("total", "array<long>"), ("best", "array<boolean>"))])
     return held.mapInArrow(_sums, f"id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string")
 
