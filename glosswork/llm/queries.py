@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm import (
-    bpe_tree, code_index, hash_ring, line_dedup, packing, page_text, pii, quality, simhash, token_alignment, token_counts,
-    whitening)
+    bpe_tree, code_index, hash_ring, language_id, line_dedup, packing, page_text, pii, quality, simhash, token_alignment,
+    token_counts, whitening)
 from glosswork.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                                   public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn(
+        "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2)
+    model = language_id.learn(docs.where(~F.col("held_out")).select("lang", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
