@@ -2,9 +2,9 @@
 
 A text is a row of pre-tokens, which the merges never cross, so its count is a sum over its pre-tokens. Documents are taken in
 blocks of a bounded size. A block holds its distinct pre-tokens once and, for each document, their places and frequencies.
-Each distinct pre-token of the corpus is encoded once for its number of pieces; the numbers are joined to the blocks' lists,
-one row per block and pre-token, so even a pre-token of every document comes once per block; and a document's count is the
-sum of pieces times frequency.
+The blocks' pre-tokens are dealt and sorted, one row per block and pre-token, so even a pre-token of every document comes once
+per block; where the string changes it is encoded for its number of pieces, and from there on only numbers move. They come back
+to their blocks, and a document's count is the sum of pieces times frequency.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.bpe_tree import LONG, PART, Merges, concatenated, halves
@@ -82,12 +82,14 @@ class _Block:
 
     def batch(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
         keys, sizes, special, places, counts = zip(*self.documents)
-        columns = [pa.array(keys, kind), pa.array(sizes, pa.int64()), pa.array(special, pa.int64()),
-                   pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-        rows = pa.StructArray.from_arrays(columns, ["id", "n_bytes", "special", "places", "counts"])
+        columns = [pa.array(keys, kind), pa.array(sizes, pa.int64()), pa.array(special, pa.int64()), pa.array(map(len, places), pa.int64())]
+        rows = pa.StructArray.from_arrays(columns, ["id", "n_bytes", "special", "size"])
+        steps = [np.diff(np.array(p, "<u4"), prepend=np.array([0], "<u4")) for p in places]  # small numbers, which pack well
+        packed = np.concatenate([*steps, *[np.array(c, "<u4") for c in counts]]) if places else np.zeros(0, "<u4")
         return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([list(self._places)], pa.list_(pa.string())),
-            pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["block", "pre_tokens", "documents"])
+            pa.array([number], pa.int64()), pa.array([list(self._places)], pa.list_(pa.string())), pa.ListArray.from_arrays(
+                pa.array([0, len(rows)], pa.int32()), rows), pa.array([pa.Codec("zstd").compress(packed.tobytes(), asbytes=True)], pa.binary())],
+            ["block", "pre_tokens", "documents", "counts"])
 
 
 def _blocks(path: str, size: int):
@@ -109,17 +111,42 @@ def _blocks(path: str, size: int):
 
 
 def _pieces(path: str):
-    """The number of pieces of each pre-token; long ones by tree concatenation."""
+    """The number of pieces of each pre-token, which come sorted; long ones by tree concatenation."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(ByteCoder(path))
+        last, size = None, 0
         for batch in batches:
-            sizes = [len(merges.encode(word)) if len(word) < LONG else len(concatenated(
-                [merges.encode(p) for p in halves(word, PART)], merges.encode, merges.text)) for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64))], ["pre_token", "pieces"])
+            runs = batch.column(2).dictionary_encode()
+            sizes = []
+            for word in runs.dictionary.to_pylist():
+                if word != last:
+                    last, size = word, len(merges.encode(word)) if len(word) < LONG else len(concatenated(
+                        [merges.encode(p) for p in halves(word, PART)], merges.encode, merges.text))
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int64)[
+                runs.indices.to_numpy()] if sizes else np.zeros(0, np.int64))], ["block", "place", "pieces"])
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document of each block: special tokens, and pieces times frequency."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            documents = batch.column(0).slice(row, 1).flatten()
+            pieces = batch.column(2).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+            sizes = documents.field(3).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(sizes))
+            total = int(ends[-1])
+            packed = np.frombuffer(pa.Codec("zstd").decompress(batch.column(1)[row].as_py(), 8 * total, asbytes=True), "<u4").astype(np.int64)
+            steps = np.cumsum(packed[:total])
+            places = steps - np.repeat(np.append(0, steps)[ends[:-1]], sizes)
+            sums = np.append(0, np.cumsum(pieces[places] * packed[total:]))[ends]
+            special = documents.field(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([documents.field(0), documents.field(1), pa.array(special + np.diff(sums), pa.int64())],
+                                             ["id", "n_bytes", "n_tokens"])
+
+
 def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_bytes, n_tokens) of each document: UTF-8 bytes, and tokens under the byte-level vocabulary at ``vocab_path``.
 
@@ -129,24 +156,17 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     wanted = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = wanted.schema["id"].dataType.simpleString()
     blocks = materialize(wanted.mapInArrow(_blocks(vocab_path, block), (
-        f"block long, pre_tokens array<string>, documents array<struct<id: {kind}, n_bytes: long, special: long, "
-        "places: array<int>, counts: array<int>>>")), "blocks")
+        f"block long, pre_tokens array<string>, documents array<struct<id: {kind}, n_bytes: long, special: long, size: long>>, "
+        "counts binary")), "blocks")
     listed = blocks.select("block", F.posexplode("pre_tokens").alias("place", "pre_token"))
-    counted = materialize(listed.select("pre_token").distinct().mapInArrow(
-        _pieces(vocab_path), "pre_token string, pieces long"), "pieces")
-    numbers = listed.join(counted, "pre_token").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("place", "pieces")))["pieces"].alias("pieces"))
+    counted = listed.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(
+        _pieces(vocab_path), "block long, place int, pieces long")
+    numbers = materialize(counted.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("place", "pieces")))["pieces"].alias("pieces")), "pieces")
     # a block of empty texts has no pre-token
-    held = blocks.select("block", "documents").join(numbers, "block", "left")
-
-    def total(d: Column) -> Column:
-        return F.aggregate(F.arrays_zip(d["places"].alias("place"), d["counts"].alias("n")), d["special"],
-                           lambda so_far, x: so_far + F.get(F.col("pieces"), x["place"]) * x["n"])
-
-    # summed within the block, so that no row of a document carries the block's list
-    return held.select(F.inline(F.transform("documents", lambda d: F.struct(
-        d["id"].alias("id"), d["n_bytes"].alias("n_bytes"), total(d).alias("n_tokens")))))
-
+    held = blocks.select("block", "documents", "counts").join(numbers, "block", "left").select(
+        "documents", "counts", F.coalesce("pieces", F.array().cast("array<long>")).alias("pieces"))
+    return held.mapInArrow(_totals, f"id {kind}, n_bytes long, n_tokens long")
 
 
 ship_by_value(__name__)
