@@ -43,7 +43,8 @@ def repeated_units(docs: DataFrame, units: Units, rank: str, text_col: str = "te
     rows = docs.select(F.col(rank).alias("rank"), text_of(text_col).alias("text")).where("text <> ''")
     found = rows.select("rank", *[h.alias(f"d{i}") for i, h in enumerate(_hashes(F.col("text")), 1)], F.posexplode(
         F.split("text", SEPARATORS[units.kind], -1)).alias("place", "unit"))
-    kept = found.where(F.size(words_of(F.col("unit"))) >= units.min_words).withColumn("unit", _normal(F.col("unit")))
+    long = F.char_length("unit") >= 2 * units.min_words - 1  # a quick look before the words are counted
+    kept = found.where(long & (F.size(words_of(F.col("unit"))) >= units.min_words)).withColumn("unit", _normal(F.col("unit")))
     hashed = materialize(kept.select("rank", "d1", "d2", "place", *[h.alias(f"u{i}") for i, h in enumerate(
         _hashes(F.col("unit")), 1)]), "units")
     place = F.struct(F.col("rank").isNull().alias("null"), "rank", "d1", "d2", "place")  # null ranks come last
@@ -101,35 +102,4 @@ def without(text: str, places: set[int], separator: str) -> tuple[str, list[dict
     return separator.join(kept), cut
 
 
-def dedup_digest(docs: DataFrame) -> DataFrame:
-    """Per document the text that is left, its length, and the spans that were cut."""
-    found = dedup(docs.select("doc_id", "text"))
-    return found.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
-                        F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform(
-                            "removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(
-                                "removed"))
-
-
-#: The same for the query, in DuckDB.
-SQL = r"""
-with units as (
-  select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as place, unnest(string_split(text, chr(10))) as unit
-  from (select distinct doc_id, text from documents where text <> '')),
-placed as (
-  select *, trim(regexp_replace(lower(unit), '[ \t\n\v\f\r]+', ' ', 'g'), ' ') as normal,
-    coalesce(sum(length(unit) + 1) over (partition by doc_id, text order by place rows between unbounded preceding and 1 preceding), 0) as start
-  from units),
-ranked as (
-  select *, case when normal = '' then 0 else len(string_split(normal, ' ')) end >= 5 and row_number() over (
-    partition by normal order by doc_id nulls last, place) > 1 as cut
-  from placed),
-texts as (
-  select doc_id, text as original, coalesce(string_agg(unit, chr(10) order by place) filter (where not cut), '') as text,
-    count(*) filter (where cut) as n_removed,
-    coalesce(string_agg(concat(start, ':', start + length(unit)), ',' order by place) filter (where cut), '') as removed
-  from ranked group by doc_id, original)
-select d.doc_id, coalesce(t.text, d.text) as text, cast(coalesce(length(coalesce(t.text, d.text)), 0) as bigint) as n_chars,
-  coalesce(t.n_removed, 0) as n_removed, coalesce(t.removed, '') as removed
-from documents d left join texts t on d.doc_id is not distinct from t.doc_id and d.text = t.original"""
-
 ship_by_value(__name__)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm import (
-    bpe_tree, code_index, hash_ring, language_id, line_dedup, packing, page_text, pii, quality, simhash, token_alignment,
-    token_counts, whitening)
+    bpe_tree, code_index, hash_ring, language_id, line_dedup, packing, page_text, passages, pii, quality, simhash,
+    token_alignment, token_counts, whitening)
 from glosswork.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,9 +67,12 @@ def op7_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")
 
 
-@query("op8_line_dedup", line_dedup.SQL)
+@query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_digest(documents(spark, sf_dir))
+    found = passages.dedup(documents(spark, sf_dir).select("doc_id", "text"), words=51, units=line_dedup.Units("line", 51))
+    return found.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
+                        F.size("cut").cast("long").alias("n_removed"), F.array_join(F.transform("cut", lambda s: F.concat_ws(
+                            ":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"))
 
 
 @query("op9_simhash_components")

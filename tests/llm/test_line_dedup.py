@@ -43,9 +43,16 @@ def test_offsets_are_those_of_the_original():
 
 def test_a_line_in_very_many_documents(spark):
     df = spark.range(3000).selectExpr("id as doc_id", f"concat('{A}\n', 'own words of number ', id, ' here now') as text")
-    got = line_dedup.dedup_digest(df)
-    assert got.where("n_removed = 1").count() == 2999 and got.where("doc_id = 0 and n_removed = 0").count() == 1
+    got = line_dedup.dedup(df)
+    assert got.where("size(removed) = 1").count() == 2999 and got.where("doc_id = 0 and size(removed) = 0").count() == 1
 
 
 def test_empty_table(spark):
-    assert line_dedup.dedup_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_long_line_and_a_long_text(make):
+    line = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, line), (2, f"{A}\n" * 3000 + line)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(make(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == line and got[2]["text"] == A and len(got[2]["removed"]) == 3000  # the later ones, and the long line
