@@ -25,8 +25,8 @@ from glosswork.llm.common import fresh, materialize, ship_by_value, texts_in
 UNDETERMINED = "und"
 #: A word: letters (and number signs that are letters to no one, which are then left out); a longer run is several words.
 _WORD = re.compile(r"[^\W\d_]{1,64}")
-#: Words that a task holds at a time.
-REMEMBER = 200_000
+#: Words that a task counts, and those whose scores it remembers, at a time.
+COUNT, REMEMBER = 200_000, 500_000
 #: Words that the forward algorithm takes at a time.
 _WORDS = 10_000
 _NEVER = -1e30
@@ -185,7 +185,7 @@ def word_counts(training: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         for batch, texts in texts_in(batches, "text"):
             for lang, text in zip(batch.column(0).to_pylist(), texts):
                 held.setdefault(lang, Counter()).update(words_in(text))
-                if sum(map(len, held.values())) > REMEMBER:
+                if sum(map(len, held.values())) > COUNT:
                     yield out()
         yield out()
 
