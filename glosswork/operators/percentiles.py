@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.numeric import rounded
 
-DIRECT_LIMIT = 1_000_000
-_ACCURACY = 10_000
+#: Rows that one pass may send to the driver, shared by all order statistics that are still open.
+BUCKETS = 1 << 16
+_INF = float("inf")
 
 
 def _clean(name: str) -> Column:
@@ -21,124 +21,94 @@ def _clean(name: str) -> Column:
 
 
 def exact_percentiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
-                      limit: int = DIRECT_LIMIT) -> dict[str, list[float | None]]:
+                      buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """Linear-interpolated percentiles per column, nulls and NaN left out; None for an empty column.
 
     The built-in exact percentile keeps every distinct value in one task, which fails on big data.
-    Here each wanted order statistic is first bracketed with a bounded sketch; the bracket is
-    counted and narrowed until it holds at most ``limit`` values, and only those are ranked exactly.
-    All columns and percentiles share each pass. Up to ``limit`` rows one direct pass is enough.
+    Here each wanted order statistic is found by counting, and the same way for a table of any size,
+    so the result does not depend on ``buckets`` or on the layout.
     """
-    names = list(wanted)
+    names = [n for n in wanted if len(wanted[n])]
     if not names:
-        return {}
-    counted = df.agg(*[F.count(_clean(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    counts = {n: counted[f"n{i}"] for i, n in enumerate(names)}
-    if max(counts.values()) <= limit:
-        row = df.agg(*[F.percentile(_clean(n), [float(p) for p in wanted[n]]).alias(f"q{i}")
-                       for i, n in enumerate(names)]).first()
-        return {n: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[n])
-                for i, n in enumerate(names)}
-
-    ranks: dict[tuple[str, int], float | None] = {}
-    for n in names:
-        for p in wanted[n]:
-            if counts[n]:
-                h = p * (counts[n] - 1)
-                ranks[(n, math.floor(h))] = ranks[(n, math.ceil(h))] = None
-    order_statistics(df, ranks, counts, limit)
-    out: dict[str, list[float | None]] = {}
-    for n in names:
-        out[n] = []
-        for p in wanted[n]:
-            if not counts[n]:
-                out[n].append(None)
-                continue
+        return {n: [] for n in wanted}
+    aggs = []
+    for i, n in enumerate(names):
+        c = _clean(n)
+        inner = F.when(F.abs(c) < F.lit(_INF), c)
+        aggs += [F.count(c).alias(f"n{i}"), F.count_if(c == F.lit(-_INF)).alias(f"below{i}"), F.count(inner).alias(f"in{i}"),
+                 F.min(inner).alias(f"low{i}"), F.max(inner).alias(f"high{i}")]
+    row = df.agg(*aggs).first()
+    counts = {n: row[f"n{i}"] for i, n in enumerate(names)}
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # low and high of the values left, and how many are below
+    for i, n in enumerate(names):
+        for p in wanted[n] if counts[n] else ():
             h = p * (counts[n] - 1)
-            low, high = ranks[(n, math.floor(h))], ranks[(n, math.ceil(h))]
-            out[n].append(low if low == high else low + (h - math.floor(h)) * (high - low))
-    return out
-
-
-def order_statistics(df: DataFrame, ranks: dict[tuple[str, int], float | None],
-                     counts: Mapping[str, int], limit: int) -> None:
-    """Fill ``ranks[(column, k)]`` with the k-th smallest value (0-based)."""
-    open_ = {key: (None, None, 0, counts[key[0]]) for key in ranks}  # low, high, below, inside
-
-    def inside(key) -> Column:
-        low, high, _, _ = open_[key]
-        c = _clean(key[0])
-        return c if low is None else F.when(c.between(F.lit(low), F.lit(high)), c)
-
+            for k in (math.floor(h), math.ceil(h)):
+                if k < row[f"below{i}"]:
+                    found[n, k] = -_INF
+                elif k >= row[f"below{i}"] + row[f"in{i}"]:
+                    found[n, k] = _INF
+                else:
+                    open_[n, k] = (row[f"low{i}"], row[f"high{i}"], row[f"below{i}"])
+    found |= order_statistics(df, open_, buckets)
+
+    def at(n: str, p: float) -> float | None:
+        if not counts[n]:
+            return None
+        h = p * (counts[n] - 1)
+        low, high = found[n, math.floor(h)], found[n, math.ceil(h)]
+        return low if low == high else (math.ceil(h) - h) * low + (h - math.floor(h)) * high
+
+    return {n: [at(n, p) for p in ps] for n, ps in wanted.items()}
+
+
+def order_statistics(df: DataFrame, wanted: Mapping[tuple[str, int], tuple[float, float, int]], buckets: int) -> dict[tuple[str, int], float]:
+    """The k-th smallest value (0-based) for each (column, k), given the least and the greatest value that it can be, and how many
+    values are below these.
+
+    Every pass counts the values of all open ranges in buckets of equal width, with the least and greatest value of each; a rank
+    goes on with the bucket that holds it. Tasks add up their counts, so what moves and what the driver gets is at most
+    ``buckets`` rows and one per range, and no value is ever sorted. A range shrinks to the values of its bucket, and each
+    pass cuts off its ends, so it comes down to one value."""
+    found = {key: low for key, (low, high, _) in wanted.items() if low == high}
+    open_ = {key: span for key, span in wanted.items() if key not in found}
     while open_:
-        wide = [k for k in open_ if open_[k][3] > limit]
-        if not wide:
-            # the discrete percentile returns a value of the data itself: nothing is interpolated here
-            left = list(open_)
-            values = df.select(*[inside(key).alias(f"v{i}") for i, key in enumerate(left)])
-            shares = [(key[1] - open_[key][2] + 0.5) / open_[key][3] for key in left]
-            row = values.agg(*[F.expr(f"percentile_disc({share!r}D) within group (order by v{i})").alias(f"v{i}")
-                               for i, share in enumerate(shares)]).first()
-            ranks.update({key: row[f"v{i}"] for i, key in enumerate(left)})
-            return
-        # ranks that still share a bracket share one sketch: at first, one per column
-        sketches: dict[tuple, list[tuple[str, int]]] = {}
-        for key in wide:
-            sketches.setdefault((key[0], *open_[key]), []).append(key)
-        span = 2.0 / _ACCURACY
-        aggs = []
-        for i, ((_, _, _, below, m), keys) in enumerate(sketches.items()):
-            points = [min(1.0, max(0.0, (k + 0.5 - below) / m + side)) for _, k in keys for side in (-span, span)]
-            aggs.append(F.percentile_approx(inside(keys[0]), points, _ACCURACY).alias(f"b{i}"))
-        row = df.agg(*aggs).first()
-        narrowed = {key: row[f"b{i}"][2 * j:2 * j + 2]
-                    for i, keys in enumerate(sketches.values()) for j, key in enumerate(keys)}
-        aggs = []
-        for i, key in enumerate(wide):
-            low, high = narrowed[key]
-            c = _clean(key[0])
-            aggs += [F.count_if(c < F.lit(low)).alias(f"below{i}"),
-                     F.count_if(c.between(F.lit(low), F.lit(high))).alias(f"in{i}")]
-        row = df.agg(*aggs).first()
-        for i, key in enumerate(wide):
-            low, high = narrowed[key]
-            below, m = row[f"below{i}"], row[f"in{i}"]
-            if low == high and below <= key[1] < below + m:
-                ranks[key] = low
+        ranges = sorted({(key[0], low, high) for key, (low, high, _) in open_.items()})
+        width = max(2, buckets // len(ranges))
+        by_column: dict[str, list[Column]] = {}
+        for i, (name, low, high) in enumerate(ranges):
+            c = _clean(name)
+            # halves, as the whole width may be beyond a double; the quotient rises with the value
+            share = (c / 2 - F.lit(low / 2)) / F.lit(max(high / 2 - low / 2, 5e-324))
+            bucket = F.when(c == F.lit(low), 0).when(c == F.lit(high), width).otherwise(F.least(
+                F.floor(share * (width - 1)) + 1, F.lit(width - 1)))
+            by_column.setdefault(name, []).append(F.when(c.between(F.lit(low), F.lit(high)), F.struct(
+                F.lit(i).alias("range"), bucket.cast("int").alias("bucket"), c.alias("value"))))
+        # the ranges of a column have no value in common but for their ends, which are then one-value ranges and not open
+        each = df.select(F.explode(F.array(*[F.coalesce(*spans) for spans in by_column.values()])).alias("x")).where(
+            "x is not null").select("x.*")
+        rows = each.groupBy("range", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        held: dict[tuple, list] = {r: [] for r in ranges}
+        for r in rows:
+            held[ranges[r["range"]]].append(r)
+        for spans in held.values():
+            spans.sort(key=lambda r: r["bucket"])
+        for key, (low, high, below) in list(open_.items()):
+            for r in held[key[0], low, high]:
+                if key[1] < below + r["n"]:
+                    break
+                below += r["n"]
+            if r["low"] == r["high"]:
+                found[key] = r["low"]
                 del open_[key]
-            elif below <= key[1] < below + m and m < open_[key][3]:
-                open_[key] = (low, high, below, m)
             else:
-                open_[key] = _halve(df, key, open_[key])
-
-
-def _halve(df: DataFrame, key: tuple[str, int], bracket: tuple) -> tuple:
-    """Split a bracket in two: the way forward when a sketch does not narrow it. The cut is halfway in
-    the order of all DOUBLE values, so at most 64 cuts leave a single value, whatever the range."""
-    c, (low, high, below, _) = _clean(key[0]), bracket
-    if low is None:
-        low, high = df.agg(F.min(c), F.max(c)).first()
-    middle = _from_ordinal((_ordinal(low) + _ordinal(high)) // 2)
-    left, right, above = df.agg(
-        F.count_if(c.between(F.lit(low), F.lit(middle))),
-        F.count_if((c > F.lit(middle)) & (c <= F.lit(high))),
-        F.min(F.when(c > F.lit(middle), c))).first()
-    return (low, middle, below, left) if key[1] < below + left else (above, high, below + left, right)
-
-
-def _ordinal(x: float) -> int:
-    """Place of a DOUBLE in the order of all of them."""
-    bits = struct.unpack("<q", struct.pack("<d", x))[0]
-    return bits if bits >= 0 else -(bits & (2 ** 63 - 1))
-
-
-def _from_ordinal(n: int) -> float:
-    size = struct.unpack("<d", struct.pack("<q", abs(n)))[0]
-    return size if n >= 0 else -size
+                open_[key] = (r["low"], r["high"], below)
+    return found
 
 
-def medians(df: DataFrame, columns: Sequence[str], limit: int = DIRECT_LIMIT) -> dict[str, float | None]:
-    return {n: q[0] for n, q in exact_percentiles(df, {n: [0.5] for n in columns}, limit).items()}
+def medians(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> dict[str, float | None]:
+    return {n: q[0] for n, q in exact_percentiles(df, {n: [0.5] for n in columns}, buckets).items()}
 
 
 def rounded_columns(df: DataFrame, names: Sequence[str], digits: int = 6) -> DataFrame:

@@ -17,6 +17,7 @@ from glosswork.operators import split as sp
 from glosswork.operators.percentiles import rounded_columns
 from glosswork.plans.registry import SQL_POISSON, part, query, sql_uniform
 from glosswork.session import local_table, materialize
+from glosswork.sources.csv import dense_position
 from glosswork.sources.sinks import predictions_table, run_summary, selected_features
 from glosswork.sources.tables import CELLS, THEMES, coded_documents, priced_orders, rated_reviews, reviews, table
 
@@ -213,8 +214,8 @@ select row_key, case when r = 0 then title else concat(title, ' (', cast(r as va
   select row_key, title, row_number() over (partition by title order by row_key) - 1 as r from reviews)""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's title made unique in key order."""
-    return feat.unique_names(coded_documents(spark, sf_dir).select("row_key", "title"), "title", "row_key").select(
-        "row_key", "unique_name")
+    placed = dense_position(coded_documents(spark, sf_dir).select("row_key", "title"), "row_key")
+    return feat.unique_names(placed, "title", "position").select("row_key", "unique_name")
 
 
 # ---- splits and draws ---------------------------------------------------------------------------------------------

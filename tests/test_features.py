@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswork.operators import features as feat
 from glosswork.operators import split as sp
+from glosswork.session import materialize
 from glosswork.operators.percentiles import exact_percentiles, medians
 
 
@@ -67,41 +68,49 @@ def test_one_hot(make):
     assert sorted((r["row_key"], r["category"]) for r in got) == [(5, "b"), (6, "__missing__")]
 
 
-def test_percentiles_match_numpy_when_narrowing(make):
+def test_percentiles_match_numpy_and_depend_on_no_budget(make):
     rng = random.Random(3)
     values = [rng.lognormvariate(0, 3) for _ in range(3000)] + [5.0] * 1500 + [None, math.nan]
     rng.shuffle(values)
-    df = make([(v, float(i % 7)) for i, v in enumerate(values)], "a double, b double").repartition(5)
+    df = make([(v, float(i % 7), None) for i, v in enumerate(values)], "a double, b double, empty double").repartition(5)
     probs = [0.0, 0.025, 0.25, 0.5, 0.6, 0.975, 1.0]
     clean = np.array([v for v in values if v is not None and not math.isnan(v)])
     other = np.array([float(i % 7) for i in range(len(values))])
-    for limit in (10**6, 40, 1):
-        got = exact_percentiles(df, {"a": probs, "b": [0.5, 0.9]}, limit)
+    every = []
+    for buckets, parts in ((1 << 16, 5), (300, 1), (40, 3)):
+        got = exact_percentiles(df.repartition(parts), {"a": probs, "b": [0.5, 0.9], "empty": [0.5], "none": []}, buckets)
         assert np.allclose(got["a"], np.quantile(clean, probs), rtol=1e-12)
-        assert np.allclose(got["b"], np.quantile(other, [0.5, 0.9]))
+        assert np.allclose(got["b"], np.quantile(other, [0.5, 0.9])) and got["empty"] == [None] and got["none"] == []
+        every.append(got)
+    assert every[0] == every[1] == every[2]  # equal bits
     assert medians(df.where("b < 0"), ["a"]) == {"a": None}
 
 
-@pytest.mark.parametrize("low, high, rank", [
-    (None, None, 4), (None, None, 9), (1.0, math.nextafter(1.0, 2), 5), (1.0, math.nextafter(1.0, 2), 6)])
-def test_halving_a_bracket(make, low, high, rank):
-    """Either half is smaller and holds the wanted rank, infinities and neighbouring numbers included."""
-    from glosswork.operators import percentiles
+def test_percentiles_of_many_columns_are_those_of_the_built_in_function(spark):
+    """A hundred thousand rows and thirty columns: some spread, some tied, some with one value on a third of all rows."""
+    columns = {f"c{i}": F.when(F.col("id") % 3 == 0, F.lit(7.5)).otherwise(F.rand(i) * 10 ** (i % 9)) if i % 3 == 0 else
+               F.floor(F.randn(i) * 50) / 8 if i % 3 == 1 else F.exp(F.randn(i) * 4) for i in range(30)}
+    df = materialize(spark.range(100_000, numPartitions=6).select(*[c.cast("double").alias(n) for n, c in columns.items()]), "columns")
+    probs = [0.1, 0.5, 0.9]
+    got = exact_percentiles(df, {n: probs for n in columns})
+    want = df.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in columns]).first()
+    assert all(got[n] == list(want[n]) for n in columns)
+
+
+def test_order_statistics_at_the_ends_of_doubles(make):
     near = [1.0, math.nextafter(1.0, 2)]
-    values = sorted([-math.inf, -math.inf, -1e308, 0.0, *near, *near, 1e308, math.inf])
+    values = sorted([-math.inf, -math.inf, -1.7e308, -5e-324, 0.0, 5e-324, *near, *near, 1.7e308, math.inf])
     df = make([(v,) for v in values], "a double")
-    below = 0 if low is None else values.index(low)
-    inside = len([v for v in values if low is None or low <= v <= high])
-    low, high, below, less = percentiles._halve(df, ("a", rank), (low, high, below, inside))
-    assert low <= values[rank] <= high and below <= rank < below + less < below + inside
-    assert less == len([v for v in values if low <= v <= high]) and below == len([v for v in values if v < low])
+    for buckets in (8, 1 << 16):
+        got = exact_percentiles(df, {"a": [k / (len(values) - 1) for k in range(len(values))]}, buckets)["a"]
+        assert [x for x in got if abs(x) < 1e300] == [x for x in values if abs(x) < 1e300] and got[0] == -math.inf and got[-1] == math.inf
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False) | st.sampled_from([0.0, 1.0]), min_size=1, max_size=60))
 def test_percentiles_property(make, values):
     df = make([(v,) for v in values], "a double")
-    got = exact_percentiles(df, {"a": [0.1, 0.5, 0.77]}, limit=3)["a"]
+    got = exact_percentiles(df, {"a": [0.1, 0.5, 0.77]}, 12)["a"]
     assert np.allclose(got, np.quantile(values, [0.1, 0.5, 0.77]), rtol=1e-9, atol=1e-9)
 
 
