@@ -10,7 +10,7 @@ from glosswork.functions.text import is_empty_review, json_slice, prompt, prompt
 from glosswork.operators import coding
 from glosswork.operators.evaluate import status_counts
 from glosswork.plans.registry import part, query
-from glosswork.session import scratch_path
+from glosswork.session import materialize, scratch_path
 from glosswork.sources.tables import THEMES, coded_documents, recorded_answers, table, theme_flags
 from glosswork.streaming.theme_stream import read_stream, run_theme_stream
 
@@ -128,7 +128,9 @@ select r.row_key, title from reviews r join coded_answers c using (row_key) wher
 def resume_pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows a second run has to label: those without a usable answer."""
     plain = coded_documents(spark, sf_dir).select("row_key", "title")
-    return coding.pending_rows(plain, coded_answers(spark, sf_dir), retry=["bad_json", "error"])
+    # as a job leaves it: a written table of keys and states, so the filter on the state doesn't answer the texts again
+    done = materialize(coded_answers(spark, sf_dir).select("row_key", "status"), "done")
+    return coding.pending_rows(plain, done, retry=["bad_json", "error"])
 
 
 @query("stream_theme_coding", _CODEBOOK_SQL)
