@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,6 +89,15 @@ def parse(page: str) -> Node:
     """The tree of a page. It takes anything: what is missing is closed, what doesn't match is passed over."""
     root = Node("html", None)
     at, here = 0, root
+    opened: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
+
+    def back_to(outer: Node) -> Node:
+        node = here
+        while node is not outer:
+            opened[node.tag] -= 1
+            node = node.parent
+        return outer
+
     while at < len(page):
         mark = page.find("<", at)
         if mark < 0:
@@ -105,28 +115,28 @@ def parse(page: str) -> Node:
             continue  # a comment or a declaration
         tag = found[2].lower()
         if found[1]:
-            node = here
+            node = here if opened[tag] else root
             while node is not root and node.tag != tag:
                 if node.tag in ("table", "body") and tag in ("b", "i", "a", "span", "em", "strong", "p"):
                     node = root
                     break
                 node = node.parent
             if node is not root:
-                here = node.parent
+                here = back_to(node.parent)
             elif tag == "br" or tag == "p":
                 here.parts.append(" ")
             continue
-        if tag in _ENDS_P:
-            here = _close(here, {"p"}, _SCOPE)
-        if tag in ENDS:
-            here = _close(here, *ENDS[tag])
+        if tag in _ENDS_P and opened["p"]:
+            here = back_to(_close(here, {"p"}, _SCOPE))
+        if tag in ENDS and any(opened[t] for t in ENDS[tag][0]):
+            here = back_to(_close(here, *ENDS[tag]))
         if tag in ("html", "body") and not _named_away(tag, found[3]):
-            if tag == "body" and here.tag == "head":
-                here = here.parent
-            here = Node(tag, here) if tag == "body" else here
+            if tag == "body":
+                here = Node(tag, back_to(here.parent) if here.tag == "head" else here)
+                opened[tag] += 1
             continue
         if here.tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-            here = here.parent  # the head ends where something else begins
+            here = back_to(here.parent)  # the head ends where something else begins
         node = Node(tag, here, 2 * (tag in DROPPED) or _named_away(tag, found[3]))
         if tag in VOID or found[3].endswith("/") and tag in ("svg", "path", "iframe"):
             continue
@@ -139,6 +149,7 @@ def parse(page: str) -> Node:
             at = len(page) if close < 0 else close + 1
             continue
         here = node
+        opened[tag] += 1
     return root
 
 
@@ -257,27 +268,21 @@ def main_nodes(root: Node) -> list[Node]:
             break
         up = up.parent
     best = article or best  # the page itself says how far the article goes; other parts still need the density
-    marked, stack = [], [top]
+    marked, stack, path, up = [], [top], set(), best
+    while up is not None:
+        path.add(up)
+        up = up.parent
     titles = {n for n in _preorder(region) if n.tag == "h1"} if region is not None else set()
     while stack:
         node = stack.pop()
-        if node is best or node in titles or node is not top and not _above(node, best) and (
+        if node is best or node in titles or node is not top and node not in path and (
                 node.density >= threshold and node.chars and node.tag in BLOCK):
             marked.append(node)
-        elif node.tag != "a" or _above(node, best):  # what is inside a link has no density of its own
+        elif node.tag != "a" or node in path:  # what is inside a link has no density of its own
             stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.drop]
     return marked
 
 
-def _above(node: Node, best: Node) -> bool:
-    up = best
-    while up is not None:
-        if up is node:
-            return True
-        up = up.parent
-    return False
-
-
 def rendered(nodes: list[Node]) -> str:
     out: list[str] = []
     for top in nodes:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -80,6 +81,14 @@ def test_deep_and_long_pages():
     assert page_text.main_text("<a \"" * 3_000) is not None
 
 
+@pytest.mark.parametrize("broken", ["<div><p>word and word</p>" * 8_000, "<div>" * 8_000 + "</em>" * 8_000 + LOREM,
+                                    "<ul><li>" * 4_000 + LOREM, "<div><p>a</p></b></div>" * 8_000])
+def test_depth_costs_no_squares(broken):
+    start = time.process_time()
+    assert page_text.main_text(broken)
+    assert time.process_time() - start < 2  # once 3 to 17 seconds
+
+
 def test_query_and_edge_rows(spark, make, sf):
     from glosswork.llm import queries
     want = {}
