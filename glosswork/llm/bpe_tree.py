@@ -125,7 +125,7 @@ def encode(docs: DataFrame, vocab_path: str, result: str = "ids", id_col: str =
     kind = wanted.schema["id"].dataType.simpleString()
     kinds = [pa.int64(), *([pa.binary()] if result == "ids" else [pa.string()] * 2)]
     names = ["id", *(c.split()[0] for c in ddl.split(", "))]
-    unsplit = F.col("text").rlike(f"[^ ]{{{spread}}}") if spread < 1 << 31 else F.lit(False)
+    unsplit = F.exists(F.split("text", " "), lambda run: F.char_length(run) >= spread)
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocab_path)

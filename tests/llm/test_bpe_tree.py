@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -63,6 +64,13 @@ def test_repeats_null_ids_and_empty_tables(make, spread):
     assert bpe_tree.encode(docs.where("doc_id = 9"), PATH, spread=spread).collect() == []
 
 
+def test_runs_just_below_the_limit(make):
+    text = "ab" * 65_000 + " " + "cd" * 65_000 + " " + "ab" * 100
+    start = time.perf_counter()
+    rows = bpe_tree.encode(make([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert rows[0]["n_tokens"] == len(library_ids([text])[0]) and time.perf_counter() - start < 8  # once over 10 seconds
+
+
 def test_memory_is_bounded_and_slices_agree(monkeypatch):
     monkeypatch.setattr(vocab, "REMEMBER", 5)
     monkeypatch.setattr(vocab.pieces_of, "__defaults__", (7,))
