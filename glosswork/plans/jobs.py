@@ -21,6 +21,7 @@ from glosswork.operators import ensemble as ens
 from glosswork.operators import evaluate as ev
 from glosswork.operators import features as feat
 from glosswork.operators import split as sp
+from glosswork.operators.neighbours import neighbour_information
 from glosswork.operators.neural import SETUPS, NetConfig, NetMembers, add_indicators
 from glosswork.session import materialize, scratch_path
 from glosswork.sources import sinks
@@ -170,9 +171,12 @@ class Prepared:
 def prepare_explanation(spark: SparkSession, path: str | list[str], out: str, target: str, config: NetConfig,
                         clean_names: bool, top: int = TOP_DERIVED_FEATURES, fit_on: str = "train",
                         metadata: Sequence[str] = METADATA_COLUMNS, first_rows: int | None = None,
-                        rounds: int = 5, rows_per_block: int = 50_000) -> Prepared:
+                        rounds: int = 5, rows_per_block: int = 50_000, information: str = "neighbours") -> Prepared:
     """Load, coerce, choose the best derived features, split, train and evaluate.
 
+    ``information`` is how features are compared with the target: by nearest ``neighbours``, or by counts in ``deciles``, which
+    needs a single grouped count.
+
     ``fit_on='train'`` keeps medians and feature choice away from the test rows; ``'all'`` uses every
     row for them.
     """
@@ -192,9 +196,14 @@ def prepare_explanation(spark: SparkSession, path: str | list[str], out: str, ta
     imputer = feat.Imputer.fit(basis, [*baseline, *derived])
     filled, basis = imputer.transform(numbers), imputer.transform(basis)
 
-    edges = feat.quantile_edges(basis, [*derived, target])
-    binned = {c: feat.bin_index(F.col(f"`{c}`"), edges[c]) for c in derived}
-    scores = feat.mutual_information(basis, binned, feat.bin_index(F.col(f"`{target}`"), edges[target]))
+    if information == "neighbours":
+        scores = neighbour_information(basis, ROW_KEY, derived, target)
+    elif information == "deciles":
+        edges = feat.quantile_edges(basis, [*derived, target])
+        binned = {c: feat.bin_index(F.col(f"`{c}`"), edges[c]) for c in derived}
+        scores = feat.mutual_information(basis, binned, feat.bin_index(F.col(f"`{target}`"), edges[target]))
+    else:
+        raise ValueError(f"information is neighbours or deciles, not {information!r}")
     ranking = feat.top_features(scores, top)
     best = [r["feature"] for r in ranking.orderBy("feature_rank").collect()]
     features = [*baseline, *best]

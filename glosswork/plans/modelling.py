@@ -14,6 +14,8 @@ from glosswork.operators import ensemble as ens
 from glosswork.operators import evaluate as ev
 from glosswork.operators import features as feat
 from glosswork.operators import split as sp
+from glosswork.operators.neighbours import NEIGHBOURS
+from glosswork.operators.neighbours import neighbour_information as nearest_neighbour_scores
 from glosswork.operators.percentiles import rounded_columns
 from glosswork.plans.registry import SQL_POISSON, part, query, sql_uniform
 from glosswork.session import local_table, materialize
@@ -132,6 +134,44 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_columns(mi_table(spark, sf_dir), ["mutual_information"], 9)
 
 
+_KNN_INPUTS = [*_NUMBERS, *THEMES]
+part("knn_scale", "select " + ", ".join(
+    f"coalesce(nullif(stddev_pop({c})::float::double, 0), 1) as {c}" for c in [*_KNN_INPUTS, "rating"]) + " from mi_input")
+part("knn_input", "select row_key, division, " + ", ".join(
+    f"c.{c} + 1e-10::double * greatest(1, abs(c.{c})) * ({sql_uniform(f"concat(cast(row_key as varchar), ':{c}')")} - 0.5::double) as {c}"
+    for c in [*_KNN_INPUTS, "rating"]) + " from (select r.row_key, r.division, " + ", ".join(
+    f"r.{c} / s.{c} as {c}" for c in [*_KNN_INPUTS, "rating"]) + " from mi_input r cross join knn_scale s) c")
+part("knn_points", " union all ".join(
+    [f"select '{c}' as feature, '' as class, row_key, {c} as x, rating as y from knn_input" for c in _KNN_INPUTS]
+    + ["select 'division', division, row_key, rating, 0 from knn_input"]))
+part("knn_sized", "select * from (select *, count(*) over (partition by feature, class) as size from knn_points) where size > 1")
+part("knn_radius", f"""
+select a.feature, a.class, a.row_key, any_value(a.x) as x, any_value(a.y) as y, any_value(a.size) as size,
+  list_extract(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {NEIGHBOURS}), least({NEIGHBOURS}, any_value(a.size) - 1)) as radius
+from knn_sized a join knn_sized b on a.feature = b.feature and a.class = b.class and a.row_key <> b.row_key group by all""")
+part("knn_near", """
+select a.feature, a.row_key, any_value(a.size) as size, any_value(a.class) as class,
+  count(*) filter (abs(a.x - b.x) < greatest(a.radius, 5e-324::double)) as near_x,
+  count(*) filter (abs(a.y - b.y) < greatest(a.radius, 5e-324::double)) as near_y
+from knn_radius a join knn_sized b on a.feature = b.feature group by a.feature, a.row_key""")
+part("psi", """
+select m, coalesce(sum(1.0::double / m) over (order by m rows between unbounded preceding and 1 preceding), 0) - 0.5772156649015329 as psi
+from (select unnest(range(1, (select count(*) + 1 from mi_input))) as m)""")
+
+
+@query("neighbour_information", f"""
+select feature, round(greatest(any_value(n.psi) + avg(k.psi) - avg(x.psi) - avg(y.psi), 0), 9) + 0.0 as mutual_information
+from (select *, count(*) over (partition by feature) as n, case when class = '' then near_y else size end as other from knn_near) p
+join psi n on n.m = p.n join psi k on k.m = least({NEIGHBOURS}, size - 1) join psi x on x.m = near_x join psi y on y.m = other
+group by feature""")
+def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of every feature with the rating by nearest neighbours: numbers and flags as numbers, divisions as classes."""
+    df = coded_rated(spark, sf_dir, *_NUMBERS, "division", *THEMES)
+    df = materialize(feat.Imputer.fit(df, _NUMBERS).transform(df), "imputed")
+    scores = nearest_neighbour_scores(df, "row_key", [*_KNN_INPUTS, "division"], "rating", discrete={"division"})
+    return rounded_columns(scores, ["mutual_information"], 9)
+
+
 @query("top_k_features", f"""
 select row_number() over (order by round(mi, 9) desc, feature)::int as feature_rank, feature, round(mi, 9) + 0.0 as mutual_information
 from mi_scores order by 1 limit {TOP_DERIVED_FEATURES}""")

@@ -145,7 +145,7 @@ def test_lime_job(spark, review_file, tmp_path):
 
 def test_shap_job(spark, review_file, tmp_path):
     out = str(tmp_path / "out")
-    points = jobs.shap_job(spark, review_file, out, explain_rows=20, background_rows=15, fit_on="all",
+    points = jobs.shap_job(spark, review_file, out, explain_rows=20, background_rows=15, fit_on="all", information="deciles",
                            config=replace(SETUPS["bootstrap"], epochs=30), **QUICK)
     assert points.select("row_key").distinct().count() == 20
     importance = {r["feature"]: r["importance"] for r in spark.read.parquet(f"{out}/importance").collect()}
