@@ -50,6 +50,51 @@ def clear_missing(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def file_headers(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> list[tuple[list[str], list[str]]]:
+    """The different headers (trimmed names) of the files of a scan, each with its files; the commonest first, of equally common
+    ones that of the first file. One job reads the first lines of all files. Blank lines before a header are passed over."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id")).where("start = 0 and trim(value) != ''")
+    by_line: dict[str, list[str]] = {}
+    for row in lines.groupBy("path").agg(F.min_by("value", "id").alias("line")).orderBy("path").collect():
+        by_line.setdefault(row["line"], []).append(row["path"])
+    if len(by_line) > 1 and any(line.count('"') % 2 for line in by_line):
+        raise ValueError("files with different headers cannot have line breaks inside their names")
+    by_names: dict[tuple, list[str]] = {}
+    for files in by_line.values():
+        names = tuple(name.strip() for name in _reader(spark, multi_line).csv(files[0]).columns)
+        by_names.setdefault(names, []).extend(files)
+    return sorted(((list(names), files) for names, files in by_names.items()), key=lambda h: -len(h[1]))
+
+
+def _by_name(spark: SparkSession, headers: list[tuple[list[str], list[str]]], path: str | list[str], multi_line: bool) -> DataFrame:
+    """One scan of files whose headers differ, as text: each field in the column that its own file's header names, and the first
+    field beyond that header in ``SURPLUS``. Names that a file does not have are null there. The rows keep their metadata."""
+    for names, files in headers:
+        if len(set(names)) < len(names):
+            raise ValueError(f"{files[0]}: a name stands twice in its header, which differs from that of other files: {names}")
+    width = max(len(names) for names, _ in headers)
+    cells = [f"_c{i}" for i in range(width + 1)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    raw = (_reader(spark, multi_line).option("mode", "PERMISSIVE").option("enforceSchema", True).schema(schema).csv(path))
+    here = F.col("_metadata.file_path")
+
+    def chosen(values: list[Column]) -> Column:
+        out = values[0]  # the commonest header needs no list of files
+        for (_, files), value in zip(headers[1:], values[1:]):
+            out = F.when(here.isin(files), value).otherwise(out)
+        return out
+
+    nothing = F.lit(None).cast("string")
+    wanted = dict.fromkeys(name for names, _ in headers for name in names)
+    if len({name.lower() for name in wanted}) < len(wanted):
+        raise ValueError(f"names in the headers of different files differ in case only: {list(wanted)}")
+    columns = [chosen([F.col(cells[names.index(n)]) if n in names else nothing for names, _ in headers]).alias(n) for n in wanted]
+    surplus = chosen([F.coalesce(*[F.col(c) for c in cells[len(names):]]) for names, _ in headers]).alias(SURPLUS)
+    return raw.select(*columns, surplus)
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Give all-text columns the type their content shows: BOOLEAN, BIGINT, DOUBLE, else STRING.
 
@@ -86,14 +131,18 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
              typed: bool = True, multi_line: bool = True) -> DataFrame:
     """Quoted CSV with a header. With a schema nothing is inferred; without one every column is read
-    as text and then typed from its content.
+    as text and then typed from its content. Files whose headers differ are put together by name; with a schema that is an error.
 
     ``multi_line`` allows line breaks inside quotes, but a file is then read by one task: for big
     data either supply many files or turn it off.
     """
+    plain = _reader(spark, multi_line).csv(path) if schema is None else _reader(spark, multi_line).schema(schema).csv(path)
+    headers = file_headers(spark, path, multi_line) if len(plain.inputFiles()) > 1 else []
     if schema is not None:
-        return clear_missing(trim_header(_reader(spark, multi_line).schema(schema).csv(path)))
-    df = clear_missing(trim_header(_reader(spark, multi_line).csv(path)))
+        if len(headers) > 1:
+            raise ValueError(f"a schema goes by position, but the files have different headers: {[names for names, _ in headers]}")
+        return clear_missing(trim_header(plain))
+    df = clear_missing(_by_name(spark, headers, path, multi_line).drop(SURPLUS) if len(headers) > 1 else trim_header(plain))
     return infer_types(df) if typed else df
 
 
@@ -102,8 +151,16 @@ def read_csv_tolerant(spark: SparkSession, path: str | list[str], columns: list[
     """All-text scan that keeps short lines (missing fields null) and sets aside lines with too many
     fields. One extra column after the header's last one catches the surplus.
 
-    A surplus field that is empty cannot be told from no field at all, so such a line is kept.
+    Files whose headers differ are put together by name, and each line is measured by its own file's header; given ``columns`` go by
+    position. A surplus field that is empty cannot be told from no field at all, so such a line is kept.
     """
+    if columns is None and header:
+        plain = _reader(spark, multi_line).csv(path)
+        headers = file_headers(spark, path, multi_line) if len(plain.inputFiles()) > 1 else []
+        if len(headers) > 1:
+            raw = _by_name(spark, headers, path, multi_line)
+            return TolerantRead(clear_missing(raw.where(F.col(SURPLUS).isNull()).drop(SURPLUS)), raw.where(F.col(SURPLUS).isNotNull()))
+        columns = plain.columns
     columns = columns or _reader(spark, multi_line, header).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*columns, SURPLUS]])
     # header and schema differ in length on purpose, so the header line is not checked against it

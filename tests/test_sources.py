@@ -17,6 +17,39 @@ def test_tolerant_read(spark, folder):
     assert [tuple(r) for r in read.bad_lines.collect()] == [("1", "2", "3", "4")]
 
 
+@pytest.fixture
+def mixed(tmp_path):
+    """Files with the same names in another order, with one more, and with one fewer."""
+    for name, text in {"a": "n,s\n1,x\n2,y\n", "b": " s ,n\nz,3\nw,4,surplus\n", "c": "\nn,s\n5,v\n", "d": 'n,"more, still",s\n6,m,u\n7\n',
+                       "e": "s\nt\nq,8\n", "f": ""}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_headers_that_differ(spark, mixed, multi_line):
+    read = csv.read_csv_tolerant(spark, mixed, multi_line=multi_line)
+    assert read.rows.columns == ["n", "s", "more, still"]
+    rows = {("1", "x", None), ("2", "y", None), ("3", "z", None), ("5", "v", None), ("6", "u", "m"), ("7", None, None), (None, "t", None)}
+    assert set(map(tuple, read.rows.collect())) == rows and read.rows.count() == len(rows)
+    assert {tuple(r) for r in read.bad_lines.collect()} == {("4", "w", None, "surplus"), (None, "q", None, "8")}
+    keyed = csv.with_file_position(read.rows).orderBy("row_key").collect()
+    assert [(r["row_key"], r["n"], r["s"]) for r in keyed] == [
+        (0, "1", "x"), (1, "2", "y"), (2, "3", "z"), (3, "5", "v"), (4, "6", "u"), (5, "7", None), (6, None, "t")]
+    typed = csv.read_csv(spark, mixed, multi_line=multi_line)
+    assert dict(typed.dtypes) == {"n": "bigint", "s": "string", "more, still": "string"} and typed.count() == 9
+    with pytest.raises(ValueError, match="different headers"):
+        csv.read_csv(spark, mixed, typed.select("n", "s").schema, multi_line=multi_line)
+
+
+@pytest.mark.parametrize("header", [" n,n", "N,x", '"n\nn",s'])
+def test_headers_that_cannot_be_matched(spark, tmp_path, header):
+    (tmp_path / "a.csv").write_text(f"{header}\n1,2\n")
+    (tmp_path / "b.csv").write_text("n,s\n1,2\n")
+    with pytest.raises(ValueError, match="header"):
+        csv.read_csv_tolerant(spark, str(tmp_path))
+
+
 def test_typed_read(spark, folder):
     path = folder("b.csv", ' n ,x,flag,text,empty\n1,1.5,True,"a ""q"", \nnext",NA\n2,,False,NULL,\n,inf,True,z,n/a\n')
     df = csv.read_csv(spark, path)
