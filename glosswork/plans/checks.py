@@ -4,6 +4,8 @@ The fits themselves are beyond SQL; their normal equations, sums and shapes are
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from glosswork.operators import ensemble as ens
 from glosswork.operators import features as feat
 from glosswork.operators import shap
 from glosswork.operators import split as sp
+from glosswork.operators.model_store import load_model, save_model
 from glosswork.operators.neural import SETUPS, layer_shapes
 from glosswork.plans.explaining import _INPUTS, _imputed, _test_part, fitted_net, train_part
 from glosswork.plans.registry import query
+from glosswork.session import scratch_path
 from glosswork.sources.csv import column
 
 _LISTED = ", ".join(f"'{name}'" for name in ["1", *_INPUTS])
@@ -85,3 +89,15 @@ def net_shap_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = model.score(test).select("row_key", (F.aggregate(ens.PREDS, F.lit(0.0), lambda a, b: a + b) / F.size(ens.PREDS)).alias("mean"))
     return explained.join(means, "row_key").select("row_key", (F.abs(total - F.col("prediction")) < 1e-6).alias("adds_up"), (
         F.abs(F.col("mean") - F.col("prediction")) < 1e-4).alias("is_the_score"))
+
+
+@query("model_roundtrip", "select row_key, split, cast(2 as int) as version, true as same_scores from rated")
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored model, loaded as the newest of two versions, scores every rated row as the one that was trained."""
+    model, df = fitted_net(spark, sf_dir, "bootstrap")
+    path = scratch_path(spark, "models")
+    save_model(spark, replace(model, flat=model.flat * 0), path)
+    save_model(spark, model, path)
+    stored = load_model(spark, path)
+    both = stored.score(model.score(df).withColumnRenamed(ens.PREDS, "trained"))
+    return both.select("row_key", "split", F.lit(stored.version).alias("version"), (F.col("trained") == F.col(ens.PREDS)).alias("same_scores"))

@@ -21,8 +21,9 @@ from glosswork.operators import ensemble as ens
 from glosswork.operators import evaluate as ev
 from glosswork.operators import features as feat
 from glosswork.operators import split as sp
+from glosswork.operators.model_store import load_model, save_model
 from glosswork.operators.neighbours import neighbour_information
-from glosswork.operators.neural import SETUPS, NetConfig, NetMembers, add_indicators
+from glosswork.operators.neural import SETUPS, NetConfig, NetMembers, indicators, known_categories
 from glosswork.session import materialize, scratch_path
 from glosswork.sources import sinks
 from glosswork.sources.csv import (
@@ -132,15 +133,14 @@ def experiment_job(spark: SparkSession, path: str | list[str], out: str, target:
     sinks.write_split(sp.split_table(parted, ROW_KEY), f"{out}/split")
     train = parted.where(F.col("split") == "train")
 
-    if impute and numeric:
-        imputer = feat.Imputer.fit(train, numeric)
-        parted = imputer.transform(parted)
-    ones: list[str] = []
-    if categorical:
-        parted, ones = add_indicators(parted, feat.category_vocabulary(train, categorical))
+    imputer = feat.Imputer.fit(train, numeric) if impute and numeric else feat.Imputer({})
+    parted = imputer.transform(parted)
+    known = known_categories(feat.category_vocabulary(train, categorical)) if categorical else []
+    ones = list(indicators(known))
+    parted = parted.withColumns(indicators(known)) if known else parted
     train = parted.where(F.col("split") == "train")
     model = NetMembers.fit(train, [*numeric, *theme, *ones], target, config, ROW_KEY, ones, rounds, rows_per_block)
-    sinks.write_model(model.table(spark), f"{out}/model")
+    save_model(spark, model, f"{out}/model", imputer.fill, theme, known)
     model.history_table(spark).write.parquet(f"{out}/history")
 
     k = len(model.members)
@@ -155,6 +155,23 @@ def experiment_job(spark: SparkSession, path: str | list[str], out: str, target:
     return result
 
 
+def score_job(spark: SparkSession, path: str | list[str], model_path: str, out: str, version: int | None = None,
+              first_rows: int | None = None) -> DataFrame:
+    """Predictions for new rows by a model that ``experiment_job`` stored (in its folder ``model``), the newest version unless named.
+
+    Gaps are filled and categories looked up as in training; nothing is fitted again, and no target is needed. Writes and returns
+    the row position, the members' mean and their spread."""
+    stored = load_model(spark, model_path, version)
+    df, bad = load_reviews(spark, path, first_rows)
+    bad.write.json(f"{out}/bad-lines")
+    scored = stored.score(require_columns(df, stored.columns()).select(ROW_KEY, *[F.col(f"`{c}`") for c in stored.columns()]))
+    k = len(stored.model.members)
+    summary = ens.clamped_summary(k) if stored.model.config.clamp else ens.summary_columns(k)
+    result = materialize(scored.withColumns(summary).select(ROW_KEY, "pred_mean", "pred_std_pop"), "scored")
+    sinks.write_quoted_csv(result.orderBy(ROW_KEY), f"{out}/predictions")
+    return result
+
+
 # ---- explanations -------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -215,7 +232,7 @@ def prepare_explanation(spark: SparkSession, path: str | list[str], out: str, ta
 
     train = filled.where(F.col("split") == "train")
     model = NetMembers.fit(train, features, target, config, ROW_KEY, (), rounds, rows_per_block)
-    sinks.write_model(model.table(spark), f"{out}/model")
+    save_model(spark, model, f"{out}/model", imputer.fill)
     k = len(model.members)
     scored = model.score(filled).withColumns(ens.summary_columns(k))
     metrics = materialize(ev.run_metrics(scored, target, std="pred_std_pop"), "metrics")

@@ -123,6 +123,10 @@ def test_experiment_job(spark, review_file, tmp_path):
     assert roles["Review Text"] == "text" and roles["Division Name"] == "categorical" and roles["Age"] == "numeric"
     assert spark.read.option("header", True).csv(f"{out}/predictions").count() == 32
     split = spark.read.parquet(f"{out}/split")
+    # the stored model gives the test rows of the same file the same scores
+    fresh = jobs.score_job(spark, review_file, f"{out}/model", str(tmp_path / "new"))
+    old = spark.read.option("header", True).csv(f"{out}/predictions").selectExpr("cast(row_key as bigint) row_key", "cast(y_pred_mean as double) old")
+    assert fresh.count() > 156 - 32 and fresh.join(old, "row_key").where("abs(old - pred_mean) < 1e-9").count() == 32
     again = jobs.experiment_job(spark, review_file, str(tmp_path / "out2"), setup=replace(SETUPS["tabular_clamped"], epochs=20),
                                 split=split, experiment="same split", **QUICK).first()
     assert again["test_size"] == 32 and again["experiment"] == "same split"
