@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.fixed_values import BACKGROUND_ROWS, SEED, TEST_SHARE
 from glosswork.functions.hashing import key_hash, split_label
+from glosswork.sources.csv import dense_position
 
 _FEW = 5_000
 
@@ -84,3 +86,21 @@ def explained_rows(df: DataFrame, n: int | None, key: str = "row_key") -> DataFr
 
 def by_split(value: Column, part: str) -> Column:
     return F.when(F.col("split") == part, value)
+
+
+def exact_bootstrap(df: DataFrame, key: str, salts: Sequence[int], total: int | None = None) -> DataFrame:
+    """Adds ``draws``, one count per salt: how often the row is among n draws with replacement from the n rows.
+
+    Each draw is a hash of its number and salt, which picks a row by its rank in the order of the unique key. Draws are counted per
+    row before they are joined, every salt's counts add up to exactly n, and layout or retries do not change them."""
+    placed = dense_position(df, key, "_rank")
+    n = placed.count() if total is None else total
+    digits = F.substring(F.md5(F.concat_ws(":", "salt", "number")), 1, 13)
+    share = F.conv(digits, 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    numbers = df.sparkSession.range(n * len(salts)).select(
+        F.element_at(F.array(*map(F.lit, salts)), (F.expr(f"id div {max(n, 1)}") + 1).cast("int")).alias("salt"), (F.col("id") % max(n, 1)).alias("number"))
+    picked = numbers.select("salt", F.floor(share * n).alias("_picked"))
+    counts = picked.groupBy("_picked").agg(F.array(*[F.count_if(F.col("salt") == s) for s in salts]).alias("draws"))
+    none = F.array(*[F.lit(0).cast("bigint")] * len(salts))
+    return placed.join(counts, placed["_rank"] == counts["_picked"], "left").withColumn(
+        "draws", F.coalesce("draws", none)).drop("_rank", "_picked")

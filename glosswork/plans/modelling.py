@@ -294,6 +294,20 @@ def background_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.background_sample(train_part(split_rated(spark, sf_dir))).select("row_key", "rating", "n_chars")
 
 
+@query("exact_bootstrap", f"""
+with places as (select row_key, row_number() over (order by row_key) - 1 as place, count(*) over () as n from rated where split = 'train'),
+picked as (select salt, cast(floor((('0x' || substr(md5(concat(cast(salt as varchar), ':', cast(place as varchar))), 1, 13))::bigint
+  / 4503599627370496.0::double) * n) as bigint) as pick from places cross join (select unnest([{', '.join(map(str, MEMBER_SALTS))}]) as salt))
+select row_key, cast(salt as int) as member, count(*) as draws from picked join (select row_key, place from places) p on pick = p.place
+group by row_key, salt""")
+def exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each member draws each training row, as many draws as rows; rows that are not drawn are left out."""
+    drawn = sp.exact_bootstrap(train_part(coded_rated(spark, sf_dir)), "row_key", MEMBER_SALTS)
+    each = F.arrays_zip(F.array(*map(F.lit, MEMBER_SALTS)).alias("member"), "draws")
+    return drawn.select("row_key", F.explode(each).alias("x")).select(
+        "row_key", F.col("x.member").cast("int").alias("member"), F.col("x.draws").alias("draws")).where("draws > 0")
+
+
 @query("poisson_bootstrap", "select row_key, " + ", ".join(
     f"cast(sum(case when member = {m} then w end) as int) as w{m}" for m in MEMBER_SALTS) + " from boots group by row_key")
 def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,16 @@ def test_exact_split_narrows(spark, monkeypatch):
     monkeypatch.setattr(sp, "_FEW", 0)
     df = spark.range(500).withColumnRenamed("id", "row_key")
     assert sp.exact_split(df).where("split = 'test'").count() == 100
+
+
+def test_exact_bootstrap(spark, make):
+    df = spark.range(0, 4000, 2).withColumnRenamed("id", "k")
+    got = {r["k"]: r["draws"] for r in sp.exact_bootstrap(df.repartition(7), "k", [3, 4]).collect()}
+    again = {r["k"]: r["draws"] for r in sp.exact_bootstrap(df.coalesce(1), "k", [3, 4]).collect()}
+    assert got == again and len(got) == 2000
+    for member in range(2):
+        counts = [d[member] for d in got.values()]
+        assert sum(counts) == 2000 and abs(counts.count(0) / 2000 - math.exp(-1)) < 0.04
+    assert sum(a == b for a, b in got.values()) < 1200  # members differ
+    assert sp.exact_bootstrap(df.where("k < 0"), "k", [3]).collect() == []
+    assert [tuple(r) for r in sp.exact_bootstrap(make([(5,)], "k int"), "k", [3, 9]).collect()] == [(5, [1, 1])]
