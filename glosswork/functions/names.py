@@ -42,15 +42,11 @@ def clean_display(c: Column, derived: Column) -> Column:
 def rule_feature(rule: Column, actual: Sequence[str], shown: Sequence[str]) -> Column:
     """The feature a rule text mentions, or the text itself.
 
-    Longest display name wins, then the longest raw name; upper and lower case are alike. The names
-    are a short list known when the plan is built, so this is one CASE expression: no join with a
-    condition, and nothing to broadcast.
+    Every name a feature goes by is a needle; upper and lower case are alike. The first needle found, in the order of rank
+    (display names, then raw ones), length (longest first) and place in the list, names the feature. The names are a short
+    list known when the plan is built, so this is one COALESCE: no join with a condition, and nothing to broadcast.
     """
-    text = F.lower(rule)
-    by_shown = sorted(zip(actual, shown), key=lambda pair: len(pair[1]), reverse=True)
-    by_actual = sorted(actual, key=len, reverse=True)
-    chosen = None
-    for name, needle in [*by_shown, *((a, a) for a in by_actual)]:
-        test = F.contains(text, F.lit(needle.lower()))
-        chosen = F.when(test, F.lit(name)) if chosen is None else chosen.when(test, F.lit(name))
-    return rule if chosen is None else chosen.otherwise(rule)
+    needles = sorted((rank, -len(needle), place, needle.lower(), names[1])
+                     for place, names in enumerate(zip(shown, actual)) for rank, needle in enumerate(names))
+    lowered = F.lower(rule)
+    return F.coalesce(*[F.when(F.contains(lowered, F.lit(needle)), F.lit(feature)) for *_, needle, feature in needles], rule)
