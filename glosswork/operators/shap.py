@@ -5,7 +5,8 @@ after the other, in that order and in the reverse order, the rest coming from ea
 a feature's value is the mean change of the prediction at its two turns.
 
 Both plans below give the same numbers. Neither compares rows with each other: the background is a
-sample whose size is a parameter, carried inside the plan.
+sample whose size is a parameter, carried inside the plan. What a row gets depends on its values and
+its order alone, so ``shap_by_join`` scores each such pair once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from glosswork.fixed_values import SEED
 from glosswork.operators.ensemble import PREDS, member_mean
+from glosswork.session import materialize
 from glosswork.sources.csv import column
 
 _ROWS_PER_STEP = 200_000
@@ -37,32 +39,35 @@ def collect_background(background: DataFrame, features: Sequence[str]) -> np.nda
     return np.array([list(r) for r in rows], dtype=float)
 
 
-def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
+def _pair(features: Sequence[str], key: str, seed: object) -> list[Column]:
+    """A row's values and the order in which they are taken."""
+    return [F.array(*[column(f).cast("double") for f in features]).alias("_x"), feature_order(features, key, seed).alias("_order")]
+
+
+def solved_pairs(df: DataFrame, background: np.ndarray, features: Sequence[str],
                  score: Callable[[DataFrame], DataFrame], k: int, key: str = "row_key",
                  seed: object = SEED) -> DataFrame:
-    """``(row_key, xs, phis, base_value, prediction)`` with any scorer that works on DataFrames.
+    """``(_x, _order, phis, base_value, prediction)``: each distinct pair of values and order, solved once.
 
-    Rows are hashed by key first, so both groupings that follow find their rows in place, and the
-    average over the background is taken before anything else moves.
-    """
+    Pairs are reduced before their only exchange, and every later grouping finds its rows in place.
+    With features of few values the table has a size of its own, whatever the number of rows."""
     m = len(features)
-    values = F.array(*[column(f).cast("double") for f in features])
-    rows = df.select(key, values.alias("_x"), feature_order(features, key, seed).alias("_order")).repartition(key)
+    pairs = df.select(*_pair(features, key, seed)).distinct()
     distinct, times = np.unique(background, axis=0, return_counts=True)   # equal rows are scored once
     around = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in b]).alias("b"), F.lit(int(n)).alias("n"))
                        for b, n in zip(distinct, times)])
-    states = rows.select(key, "_x", "_order", F.explode(F.sequence(F.lit(0), F.lit(2 * m - 1))).alias("_s"))
-    pairs = states.select(key, "_x", "_order", "_s", F.inline(around).alias("_b", "_n"))
+    states = pairs.select("_x", "_order", F.explode(F.sequence(F.lit(0), F.lit(2 * m - 1))).alias("_s"))
+    against = states.select("_x", "_order", "_s", F.inline(around).alias("_b", "_n"))
 
     def from_row(i: int) -> Column:
         turn = F.array_position("_order", i) - 1
         return F.when(F.col("_s") <= m, turn < F.col("_s")).otherwise(turn >= 2 * m - F.col("_s"))
 
-    mixed = pairs.select(key, "_x", "_s", "_order", "_n", *[
+    mixed = against.select("_x", "_s", "_order", "_n", *[
         F.when(from_row(i), F.col("_x")[i]).otherwise(F.col("_b")[i]).alias(f) for i, f in enumerate(features)])
-    means = (score(mixed).groupBy(key, "_x", "_s", "_order").agg((
+    means = (score(mixed).groupBy("_x", "_order", "_s").agg((
         F.sum(F.col("_n") * member_mean(F.col(PREDS), k)) / F.lit(len(background))).alias("_v"))
-             .groupBy(key, "_x", "_order").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_v")))
+             .groupBy("_x", "_order").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_v")))
     v = lambda s: F.element_at("_v", s)
 
     def back(t: Column) -> Column:
@@ -73,8 +78,20 @@ def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
         return (v(turn + 1) - v(turn) + back(m - turn) - back(m - turn - 1)) / 2
 
     phis = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), phi)
-    return means.select(key, F.col("_x").alias("xs"), phis.alias("phis"), v(F.lit(0)).alias("base_value"),
-                        v(F.lit(m)).alias("prediction"))
+    return means.select("_x", "_order", phis.alias("phis"), v(F.lit(0)).alias("base_value"), v(F.lit(m)).alias("prediction"))
+
+
+def shap_by_join(df: DataFrame, background: np.ndarray, features: Sequence[str],
+                 score: Callable[[DataFrame], DataFrame], k: int, key: str = "row_key",
+                 seed: object = SEED) -> DataFrame:
+    """``(row_key, xs, phis, base_value, prediction)`` with any scorer that works on DataFrames.
+
+    The solved pairs are written, so their size is known: while they are few, rows meet them where
+    they are, and nothing that grows with the rows is exchanged. Beyond that the same join moves each
+    row once."""
+    solved = materialize(solved_pairs(df, background, features, score, k, key, seed), "solved")
+    rows = df.select(key, *_pair(features, key, seed))
+    return rows.join(solved, ["_x", "_order"]).select(key, F.col("_x").alias("xs"), "phis", "base_value", "prediction")
 
 
 def shap_block(x: np.ndarray, order: np.ndarray, background: np.ndarray, times: np.ndarray,
