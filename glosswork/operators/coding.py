@@ -13,6 +13,7 @@ from glosswork.fixed_values import CODEBOOK
 from glosswork.functions.text import (
     is_empty_review, parsed_answer, prompt, review_text, theme_columns,
 )
+from glosswork.operators.calls import Ask, Caller, CallLimits
 from glosswork.operators.features import add_missing_columns
 
 
@@ -42,32 +43,26 @@ def codebook_labeller(flags: Callable[[Column, Column], Mapping[str, Column]]) -
     return label
 
 
-def function_labeller(connect: Callable[[], Callable[[str], str]]) -> TextLabeller:
-    """Answers from a Python function of the prompt, such as a client of a model service.
+def function_labeller(connect: Callable[[], Ask], limits: CallLimits = CallLimits()) -> TextLabeller:
+    """Answers from a Python function or coroutine function of the prompt, such as a client of a model service.
 
-    ``connect`` runs once per task and returns the function. A call that raises leaves that row's
-    answer null and its reason in ``error_text``; the other rows are not affected.
+    ``connect`` runs once per task and returns the function, which is called within ``limits``. A row
+    whose calls all failed has a null answer and the last reason in ``error_text``; the other rows are
+    not affected.
     """
     def label(rows: DataFrame) -> DataFrame:
         kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = connect()
-            for batch in batches:
-                answers = [answer_or_reason(ask, p) for p in batch["prompt"]]
-                yield batch.assign(response=[a for a, _ in answers], error_text=[e for _, e in answers])
+            with Caller(connect(), limits) as caller:
+                for batch in batches:
+                    answers = caller.answers(batch["prompt"])
+                    yield batch.assign(response=[a for a, _ in answers], error_text=[e for _, e in answers])
 
         return rows.mapInPandas(run, ", ".join([*kept, "response string", "error_text string"]))
     return label
 
 
-def answer_or_reason(ask: Callable[[str], str], request: str) -> tuple[str | None, str | None]:
-    try:
-        return ask(request), None
-    except Exception as error:  # noqa: BLE001  any failed call is recorded as a missing answer with its reason
-        return None, f"{type(error).__name__}: {error}"
-
-
 def labelling_input(df: DataFrame, title: str = "title", review: str = "review_text",
                     codebook: Mapping[str, str] = CODEBOOK, max_chars: int | None = None) -> DataFrame:
     """Adds ``text``, ``prompt`` and the plain fields; a column the table does not have counts as missing.
