@@ -1,18 +1,22 @@
 """LIME-style local explanations of many rows.
 
-The perturbed samples do not depend on the explained row: each sample draws a bin per feature from
-the training frequencies. So they are drawn and scored once for all rows, and a row only compares
-its own bins with theirs. That comparison is one pass over the rows without a shuffle.
+A perturbed sample draws a bin per feature from the training frequencies. That does not depend on the
+explained row, so ``lime_explain`` draws and scores the samples once for all rows, each value at its
+bin's mean, and a row only compares its own bins with theirs. ``lime_continuous`` gives every row
+samples of its own, with values from the bin's truncated normal distribution, and scores them inside
+the task. Both are one pass over the rows without a shuffle, and carry along what the table needs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +30,25 @@ from glosswork.session import local_table
 from glosswork.sources.csv import column
 
 _SPAN = 2 ** 32
-_MEMORY = 20_000
+#: Bytes of remembered sums per task.
+_MEMORY = 64 << 20
+#: Perturbed samples that are scored at a time.
+_STEP = 100_000
+# The normal distribution function on a grid; between its points, a value is off by less than 1e-6.
+_GRID = np.linspace(-9.0, 9.0, 1 << 13)
+_BELOW = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _GRID])
 
 
 @dataclass(frozen=True)
 class QuartileBins:
-    """Per feature: bin edges, how many training rows each bin holds, and their mean value."""
+    """Per feature: bin edges, how many training rows each bin holds, and their mean, spread and ends."""
     features: tuple[str, ...]
     edges: tuple[tuple[float, ...], ...]
     counts: tuple[tuple[int, ...], ...]
     means: tuple[tuple[float | None, ...], ...]
+    stds: tuple[tuple[float | None, ...], ...]
+    least: tuple[tuple[float | None, ...], ...]
+    greatest: tuple[tuple[float | None, ...], ...]
 
     @classmethod
     def fit(cls, train: DataFrame, features: Sequence[str]) -> QuartileBins:
@@ -44,12 +57,16 @@ class QuartileBins:
         cells = F.array(*[F.struct(F.lit(i).alias("f"), bin_index(column(f), edges[f]).alias("bin"),
                                    column(f).cast("double").alias("v")) for i, f in enumerate(features)])
         rows = (train.select(F.inline(cells)).groupBy("f", "bin")
-                .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).collect())
+                .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
+                     F.min("v").alias("least"), F.max("v").alias("greatest")).collect())
         found = {(r["f"], r["bin"]): r for r in rows}
-        sizes = [range(len(edges[f]) + 1) for f in features]
-        return cls(tuple(features), tuple(edges[f] for f in features),
-                   tuple(tuple(found[i, b]["n"] if (i, b) in found else 0 for b in s) for i, s in enumerate(sizes)),
-                   tuple(tuple(found[i, b]["mean"] if (i, b) in found else None for b in s) for i, s in enumerate(sizes)))
+
+        def per_bin(name: str, none: object = None) -> tuple[tuple, ...]:
+            return tuple(tuple(found[i, b][name] if (i, b) in found else none for b in range(len(edges[f]) + 1))
+                         for i, f in enumerate(features))
+
+        return cls(tuple(features), tuple(edges[f] for f in features), per_bin("n", 0),
+                   *[per_bin(name) for name in ("mean", "std", "least", "greatest")])
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(f, b, n, self.means[i][b], self.edges[i][b - 1] if b else None,
@@ -57,6 +74,18 @@ class QuartileBins:
                 for i, f in enumerate(self.features) for b, n in enumerate(self.counts[i])]
         return local_table(spark, rows, "feature string, bin int, n bigint, mean double, above double, up_to double")
 
+    def spread_table(self, spark: SparkSession) -> DataFrame:
+        """``(feature, bin, std, least, greatest)`` of the bins that hold training rows."""
+        rows = [(f, b, self.stds[i][b], self.least[i][b], self.greatest[i][b])
+                for i, f in enumerate(self.features) for b, n in enumerate(self.counts[i]) if n]
+        return local_table(spark, rows, "feature string, bin int, std double, least double, greatest double")
+
+    def bounds(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each bin of a feature begins and ends; the outer ones at the least and greatest training value."""
+        values = [[v for v in side[i] if v is not None] for side in (self.least, self.greatest)]
+        ends = (min(values[0], default=np.nan), max(values[1], default=np.nan))
+        return np.array([ends[0], *self.edges[i]]), np.array([*self.edges[i], ends[1]])
+
     def bin_columns(self) -> list[Column]:
         return [bin_index(column(f), self.edges[i]) for i, f in enumerate(self.features)]
 
@@ -111,7 +140,7 @@ def local_sums(own: np.ndarray, own_f: np.ndarray, drawn: np.ndarray, f: np.ndar
     for r in range(n):
         name = own[r].tobytes()
         if name not in memory:
-            if len(memory) >= _MEMORY:
+            if (len(memory) + 1) * 8 * (m + 2) ** 2 > _MEMORY:
                 memory.clear()
             z = np.ones((len(drawn), m + 2))
             z[:, 1:m + 1] = drawn == own[r]
@@ -158,24 +187,124 @@ def lime_sums(scored: DataFrame, bins: QuartileBins, drawn: np.ndarray, f: np.nd
     return _rows_with_bins(scored, bins, k, key).mapInPandas(run, f"`{key}` {key_type}, i int, j int, value double")
 
 
+def _explained(rows: DataFrame, kept: Sequence[str], sums: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple]]]) -> DataFrame:
+    """The first columns of ``rows``, those to keep, as they are, with ``coefficients``, ``intercept`` and ``prediction``.
+
+    ``sums`` is called once per task and gives, for a batch, its sums and own predictions in slices."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_batch = sums()
+        for batch in batches:
+            at = 0
+            for block, own_f in per_batch(batch):
+                beta, intercept = ridge_from_sums(block)
+                found = [pa.array(list(beta), pa.list_(pa.float64())), pa.array(intercept), pa.array(own_f)]
+                columns = [batch.column(c).slice(at, len(block)) for c in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, *found], [*kept, "coefficients", "intercept", "prediction"])
+                at += len(block)
+
+    number = F.lit(0.0)
+    schema = rows.select(*[column(c) for c in kept]).withColumns(
+        {"coefficients": F.array(number), "intercept": number, "prediction": number}).schema
+    return rows.mapInArrow(run, schema)
+
+
+def _matrix(batch: pa.RecordBatch, first: int, count: int, kind: type) -> np.ndarray:
+    return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False).astype(kind) for i in range(count)], axis=1)
+
+
 def lime_explain(scored: DataFrame, bins: QuartileBins, drawn: np.ndarray, f: np.ndarray, k: int,
-                 key: str = "row_key") -> DataFrame:
-    """``(row_key, coefficients, intercept, prediction)`` per row."""
-    shared = scored.sparkSession.sparkContext.broadcast((drawn, f))
-    key_type = scored.schema[key].dataType.simpleString()
+                 key: str = "row_key", keep: Sequence[str] = ()) -> DataFrame:
+    """``(row_key, keep…, coefficients, intercept, prediction)`` per row; the samples are shared by all rows."""
+    shared, kept, m = scored.sparkSession.sparkContext.broadcast((drawn, f)), [key, *keep], len(bins.features)
+
+    def sums() -> Callable[[pa.RecordBatch], Iterator[tuple]]:
+        (samples, predicted), memory = shared.value, {}
+
+        def of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            own_f = batch.column(len(kept)).to_numpy(zero_copy_only=False)
+            if len(own_f):
+                yield local_sums(_matrix(batch, len(kept) + 1, m, np.int32), own_f, samples, predicted, memory), own_f
+        return of
+
+    rows = scored.select(*[column(c) for c in kept], member_mean(F.col(PREDS), k).alias("_f"),
+                         *[b.alias(f"_b{i}") for i, b in enumerate(bins.bin_columns())])
+    return _explained(rows, kept, sums)
+
+
+# ---- continuous perturbations -------------------------------------------------------------------------
+
+def truncated_normal(u: np.ndarray, mean: np.ndarray, std: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The values at the quantiles ``u`` of normal distributions that are cut off at two bounds; no spread gives the mean."""
+    spread = np.where(std > 0, std, 1.0)
+    from_, to = (np.interp((bound - mean) / spread, _GRID, _BELOW) for bound in (low, high))
+    z = np.interp(from_ + u * (to - from_), _BELOW, _GRID)
+    return np.where(std > 0, np.clip(mean + spread * z, low, high), mean)
+
+
+def draw_tables(bins: QuartileBins) -> list[tuple[np.ndarray, ...]]:
+    """Per feature and bin: rows up to and with it, mean, spread, and the two bounds."""
+    number = lambda side: np.array([np.nan if v is None else v for v in side])
+    return [(np.cumsum(bins.counts[j]), number(bins.means[j]), number(bins.stds[j]), *bins.bounds(j))
+            for j in range(len(bins.features))]
+
+
+def row_draws(tables: Sequence[tuple[np.ndarray, ...]], key: object, n: int, seed: object = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and values ``(n - 1, features)`` of one row's perturbed samples.
+
+    The uniforms come from a counter-based generator whose key is the digest of the row's, so a row has the same draws in
+    every layout and after every retry."""
+    digest = hashlib.md5(f"{key}:{seed}".encode()).digest()
+    u = np.random.Generator(np.random.Philox(key=np.frombuffer(digest, np.uint64))).random((2, len(tables), n - 1))
+    drawn, values = np.zeros((n - 1, len(tables)), np.int32), np.zeros((n - 1, len(tables)))
+    for j, (upper, *per_bin) in enumerate(tables):
+        drawn[:, j] = np.searchsorted(upper, u[0, j] * upper[-1], side="right")
+        values[:, j] = truncated_normal(u[1, j], *[side[drawn[:, j]] for side in per_bin])
+    return drawn, values
+
+
+def lime_continuous(rows: DataFrame, bins: QuartileBins, predict: Callable[[np.ndarray], np.ndarray], n: int = PERTURBATIONS,
+                    key: str = "row_key", keep: Sequence[str] = (), seed: object = SEED) -> DataFrame:
+    """``(row_key, keep…, coefficients, intercept, prediction)`` per row, from ``n`` samples of its own, itself the first.
+
+    ``predict`` gives ``(members, rows)`` of a block. A row costs ``n`` predictions, so rows are first spread over all cores."""
+    kept, m = [key, *keep], len(bins.features)
+    width, step, tables = 0.75 * np.sqrt(m), max(1, _STEP // n), draw_tables(bins)
+
+    def sums() -> Callable[[pa.RecordBatch], Iterator[tuple]]:
+        def of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                own, x = _matrix(part, len(kept), m, np.int32), _matrix(part, len(kept) + m, m, float)
+                draws = [row_draws(tables, name, n, seed) for name in part.column(0).to_pylist()]
+                values = np.stack([np.vstack([r, v]) for r, (_, v) in zip(x, draws)])
+                y = predict(values.reshape(-1, m)).mean(axis=0).reshape(len(x), n)
+                z = np.ones((len(x), n, m + 2))
+                z[:, 1:, 1:m + 1] = np.stack([d for d, _ in draws]) == own[:, None, :]
+                z[:, :, m + 1] = y
+                w = np.exp(-(m - z[:, :, 1:m + 1].sum(axis=2)) / (2 * width * width))
+                yield np.swapaxes(z * w[:, :, None], 1, 2) @ z, y[:, 0]
+        return of
+
+    session = rows.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    given = rows.select(*[column(c) for c in kept], *[b.alias(f"_b{i}") for i, b in enumerate(bins.bin_columns())],
+                        *[column(f).cast("double").alias(f"_x{i}") for i, f in enumerate(bins.features)])
+    return _explained(given.repartition(tasks, column(key)), kept, sums)
+
+
+def drawn_outside(rows: DataFrame, bins: QuartileBins, n: int, key: str = "row_key", seed: object = SEED) -> DataFrame:
+    """``(row_key, feature, draws, outside)``: how many of a row's draws there are, and how many lie outside their bin."""
+    key_type, tables = rows.schema[key].dataType.simpleString(), draw_tables(bins)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        samples, predicted = shared.value
-        memory: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            own_f = batch["_f"].to_numpy()
-            sums = local_sums(batch.iloc[:, 2:].to_numpy(np.int32), own_f, samples, predicted, memory)
-            beta, intercept = ridge_from_sums(sums)
-            yield pd.DataFrame({key: batch[key].to_numpy(), "coefficients": list(beta),
-                                "intercept": intercept, "prediction": own_f})
-
-    return _rows_with_bins(scored, bins, k, key).mapInPandas(
-        run, f"`{key}` {key_type}, coefficients array<double>, intercept double, prediction double")
+            for name in batch[key]:
+                drawn, values = row_draws(tables, name, n, seed)
+                bad = [int((~((low[drawn[:, j]] <= values[:, j]) & (values[:, j] <= high[drawn[:, j]]))).sum())
+                       for j, (*_, low, high) in enumerate(tables)]
+                yield pd.DataFrame({key: name, "feature": list(bins.features), "draws": len(drawn), "outside": bad})
+
+    return rows.select(key).mapInPandas(run, f"`{key}` {key_type}, feature string, draws bigint, outside bigint")
 
 
 def with_rules(rows: DataFrame, bins: QuartileBins, contributions: str, digits: int = 9) -> DataFrame:

@@ -22,6 +22,8 @@ from glosswork.plans.registry import part, query, sql_uniform
 from glosswork.sources.tables import CELLS, THEMES
 
 LIME_FEATURES = ["n_chars", *CELLS]
+#: Perturbations per explained row where each row has draws of its own.
+CONTINUOUS_SAMPLES = 500
 
 
 def _test_part(df: DataFrame) -> DataFrame:
@@ -195,12 +197,31 @@ def lime_weighted_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lime_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local ridge fits of every rated test row and the table shown for it."""
     coded, model, bins, drawn, f = lime_setup(spark, sf_dir)
-    test = _test_part(coded)
-    local = lime.lime_explain(model.score(test), bins, drawn, f, K)
-    rows = lime.with_rules(test.join(local, "row_key"), bins, "coefficients")
+    local = lime.lime_explain(model.score(_test_part(coded)), bins, drawn, f, K, keep=_F)
+    rows = lime.with_rules(local, bins, "coefficients")
     return lime.explanation_table(rows, _F, [f"llm_{c}" if c in THEMES else c for c in _F], integers=CELLS)
 
 
+@query("lime_bin_spread", """
+select e.feature, r.bin, round(stddev_pop(r.v), 6) + 0.0 as std, min(r.v) as least, max(r.v) as greatest
+from row_bins r join lime_edges e using (f) where r.split = 'train' group by e.feature, r.bin""")
+def lime_bin_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread and ends of the training values in each bin, from which continuous perturbations are drawn."""
+    bins = lime.QuartileBins.fit(train_part(_coded(spark, sf_dir)), _F)
+    return rounded_columns(bins.spread_table(spark), ["std"])
+
+
+@query("lime_draws_in_bins", f"""
+select e.feature, cast(count(*) * {CONTINUOUS_SAMPLES - 1} as bigint) as draws, 0::bigint as outside
+from row_bins r join lime_edges e using (f) where r.split = 'test' group by e.feature""")
+def lime_draws_in_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every continuous perturbation of every rated test row, held against the ends of the bin it was drawn for."""
+    coded = _coded(spark, sf_dir)
+    bins = lime.QuartileBins.fit(train_part(coded), _F)
+    return lime.drawn_outside(_test_part(coded), bins, CONTINUOUS_SAMPLES).groupBy("feature").agg(
+        F.sum("draws").alias("draws"), F.sum("outside").alias("outside"))
+
+
 _RULE_SQL = """case when len(edges) = 0 then feature when bin = 0 then feature || ' <= ' || printf('%.2f', edges[1])
   when bin = len(edges) then feature || ' > ' || printf('%.2f', edges[len(edges)])
   else printf('%.2f', edges[bin]) || ' < ' || feature || ' <= ' || printf('%.2f', edges[bin + 1]) end"""
@@ -229,9 +250,10 @@ join row_bins b on b.row_key = p.row_key and b.f = r.f""")
 def explanation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature, value and contribution lines of every rated test row, from its SHAP values."""
     explained, coded = explained_cells(spark, sf_dir)
-    bins, test = lime.QuartileBins.fit(train_part(coded), CELLS), _test_part(coded)
+    bins = lime.QuartileBins.fit(train_part(coded), CELLS)
     quiet = F.transform("phis", lambda p: F.when(F.abs(p) < 1e-12, 0.0).otherwise(p))
-    rows = lime.with_rules(test.join(explained.withColumn("phis", quiet), "row_key"), bins, "phis")
+    values = {c: F.col("xs")[i] for i, c in enumerate(CELLS)}  # the values travel with the attributions: no join back
+    rows = lime.with_rules(explained.withColumns({"phis": quiet, **values}), bins, "phis")
     table = lime.explanation_table(rows, CELLS, [f"llm_{c}" for c in CELLS], integers=CELLS)
     return table.withColumn("contribution", rounded(F.col("contribution")))
 
@@ -322,7 +344,15 @@ def lime_explain_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = lime.QuartileBins.fit(train_part(df), _INPUTS)
     drawn = lime.draw_bins(bins)
     f = lime.score_samples(spark, bins, drawn, model.score, k)
-    test = _test_part(df)
-    local = lime.lime_explain(model.score(test), bins, drawn, f, k)
-    rows = lime.with_rules(test.join(local, "row_key"), bins, "coefficients")
+    local = lime.lime_explain(model.score(_test_part(df)), bins, drawn, f, k, keep=_INPUTS)
+    rows = lime.with_rules(local, bins, "coefficients")
     return lime.explanation_table(rows, _INPUTS, _INPUTS, integers=THEMES)
+
+
+@query("lime_continuous_mlp")
+def lime_continuous_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIME lines of the neural ensemble for every rated test row, each from continuous perturbations of its own."""
+    model, df = fitted_net(spark, sf_dir, "decay", epochs=60)
+    bins = lime.QuartileBins.fit(train_part(df), _INPUTS)
+    local = lime.lime_continuous(_test_part(df), bins, model.predict, CONTINUOUS_SAMPLES, keep=_INPUTS)
+    return lime.explanation_table(lime.with_rules(local, bins, "coefficients"), _INPUTS, _INPUTS, integers=THEMES)

@@ -242,9 +242,14 @@ def prepare_explanation(spark: SparkSession, path: str | list[str], out: str, ta
 
 def lime_job(spark: SparkSession, path: str | list[str], out: str, target: str = "Rating",
              positions: Sequence[int] | None = None, config: NetConfig = SETUPS["decay"],
-             samples: int = PERTURBATIONS, **options) -> DataFrame:
+             samples: int = PERTURBATIONS, perturb: str = "means", **options) -> DataFrame:
     """Local explanations with the ensemble's distribution for the rows at ``positions`` (all test rows
-    without): ``out/explanations`` has the lines, ``out/distribution`` one row per explained row."""
+    without): ``out/explanations`` has the lines, ``out/distribution`` one row per explained row.
+
+    ``perturb="means"`` shares samples among all rows, each value at its bin's mean; ``"normal"`` draws
+    samples for every row, each value from its bin's truncated normal distribution."""
+    if perturb not in ("means", "normal"):
+        raise ValueError(f"perturb is means or normal, not {perturb!r}")
     p = prepare_explanation(spark, path, out, target, config, clean_names=False, **options)
     if positions is None:
         rows = p.rows.where(F.col("split") == "test")
@@ -259,11 +264,13 @@ def lime_job(spark: SparkSession, path: str | list[str], out: str, target: str =
     scored.select(ROW_KEY, "split", F.col(f"`{target}`").alias("actual"),
                   *[c.alias(n) for n, c in ens.summary_columns(k).items()]).write.parquet(f"{out}/distribution")
     bins = lime.QuartileBins.fit(p.rows.where(F.col("split") == "train"), p.features)
-    drawn = lime.draw_bins(bins, samples)
-    f = lime.score_samples(spark, bins, drawn, p.model.score, k)
-    local = lime.lime_explain(scored, bins, drawn, f, k, ROW_KEY)
-    lines = lime.explanation_table(
-        lime.with_rules(scored.join(local, ROW_KEY), bins, "coefficients"), p.features, p.shown, ROW_KEY)
+    if perturb == "normal":
+        local = lime.lime_continuous(scored, bins, p.model.predict, samples, ROW_KEY, p.features)
+    else:
+        drawn = lime.draw_bins(bins, samples)
+        f = lime.score_samples(spark, bins, drawn, p.model.score, k)
+        local = lime.lime_explain(scored, bins, drawn, f, k, ROW_KEY, p.features)
+    lines = lime.explanation_table(lime.with_rules(local, bins, "coefficients"), p.features, p.shown, ROW_KEY)
     lines.write.parquet(f"{out}/explanations")
     return spark.read.parquet(f"{out}/explanations")
 

@@ -138,3 +138,92 @@ def test_explanation_lines(make):
     assert [tuple(r) for r in got] == [
         (0, 1, "llm_b", "1", 2.0, "+2.000", "pos"), (0, 2, "a", "4.0000", -0.5, "-0.500", "neg"),
         (1, 1, "a", "4.0000", 0.0, "+0.000", "pos"), (1, 2, "llm_b", "1", 0.0, "+0.000", "pos")]
+
+
+def test_equal_rows_are_solved_once(spark, make):
+    """Few values: what is solved and exchanged doesn't grow with the rows, and rows stay where they are."""
+    def few(n):
+        return spark.range(n).select(F.col("id").alias("row_key"), *[
+            F.pmod(F.xxhash64("id", F.lit(f)), F.lit(2)).cast("double").alias(f) for f in FEATURES])
+
+    background = np.array(list(itertools.product([0.0, 1.0], repeat=4)))[::3]
+    sizes = [shap.solved_pairs(few(n), background, FEATURES, model().score, 2).count() for n in (5_000, 50_000)]
+    assert sizes == [16 * 24, 16 * 24]
+    got = shap.shap_by_join(few(5_000), background, FEATURES, model().score, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    for left, right in zip(collect(got), collect(shap.shap_in_batches(few(5_000), background, FEATURES, model().predict))):
+        assert len(left) == 5_000 and np.allclose(left, right, atol=1e-9)
+
+
+def test_pairs_with_missing_values_meet(make):
+    df = make([(0, None, 1.0), (1, None, 1.0), (2, float("nan"), -0.0), (3, float("nan"), 0.0)], "row_key bigint, a double, b double")
+    score = lambda d: d.withColumn("preds", F.array(F.coalesce(F.nanvl("a", F.lit(3.0)), F.lit(5.0)) + F.col("b")))
+    _, _, pred = collect(shap.shap_by_join(df, np.zeros((2, 2)), ["a", "b"], score, 1))
+    assert list(pred) == [6.0, 6.0, 3.0, 3.0]
+
+
+def test_truncated_normal():
+    u = (np.arange(200_000) + 0.5) / 200_000
+    one = lambda *v: lime.truncated_normal(u, *[np.full(len(u), x) for x in v])
+    got = one(1.0, 2.0, 0.0, 4.0)
+    assert got.min() >= 0 and got.max() <= 4 and (np.diff(got) >= 0).all()
+    phi = lambda z: np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+    from statistics import NormalDist
+    below = NormalDist().cdf
+    a, b = -0.5, 1.5
+    mass = below(b) - below(a)
+    mean = 1 + 2 * (phi(a) - phi(b)) / mass
+    var = 4 * (1 + (a * phi(a) - b * phi(b)) / mass - ((phi(a) - phi(b)) / mass) ** 2)
+    assert abs(got.mean() - mean) < 1e-5 and abs(got.var() - var) < 1e-4
+    exact = [1 + 2 * NormalDist().inv_cdf(below(a) + p * mass) for p in u[::9973]]
+    assert np.allclose(got[::9973], exact, atol=1e-5)
+    assert (one(7.0, 0.0, 7.0, 7.0) == 7).all()
+
+
+def test_continuous_draws(table):
+    df, x = table
+    bins = lime.QuartileBins.fit(df, FEATURES)
+    tables = lime.draw_tables(bins)
+    drawn, values = lime.row_draws(tables, 5, 4000)
+    again = lime.row_draws(tables, 5, 4000)
+    assert (again[0] == drawn).all() and (again[1] == values).all()
+    assert not (lime.row_draws(tables, 6, 4000)[1] == values).any()
+    for j in range(4):
+        low, high = bins.bounds(j)
+        assert low[0] == x[:, j].min() and high[-1] == x[:, j].max()
+        assert (np.searchsorted(bins.edges[j], values[:, j], side="left") == drawn[:, j])[values[:, j] > low[drawn[:, j]]].all()
+        for b in range(4):
+            assert abs((drawn[:, j] == b).mean() - bins.counts[j][b] / 30) < 0.03
+    outside = lime.drawn_outside(df, bins, 200).groupBy("feature").agg(F.sum("draws"), F.sum("outside")).collect()
+    assert sorted(tuple(r) for r in outside) == [(f, 30 * 199, 0) for f in FEATURES]
+
+
+def test_continuous_fit_against_brute_force(table, monkeypatch):
+    df, x = table
+    bins = lime.QuartileBins.fit(df, FEATURES)
+    local = lime.lime_continuous(df, bins, curved, 300, keep=["b"]).orderBy("row_key").collect()
+    assert len(local) == 30 and [r["b"] for r in local] == list(x[:, 1])
+    width = 0.75 * np.sqrt(4)
+    for key in (0, 7, 29):
+        own = np.array([np.searchsorted(e, v, side="left") for e, v in zip(bins.edges, x[key])])
+        drawn, values = lime.row_draws(lime.draw_tables(bins), key, 300)
+        z = np.vstack([np.ones(4), (drawn == own).astype(float)])
+        y = curved(np.vstack([x[key], values])).mean(axis=0)
+        w = np.sqrt(np.exp(-(4 - z.sum(1)) / width ** 2))
+        mz, my = np.average(z, axis=0, weights=w), np.average(y, weights=w)
+        beta = np.linalg.solve(((z - mz) * w[:, None]).T @ (z - mz) + np.eye(4), ((z - mz) * w[:, None]).T @ (y - my))
+        assert np.allclose(local[key]["coefficients"], beta) and np.isclose(local[key]["prediction"], y[0])
+    other = lime.lime_continuous(df.repartition(7), bins, curved, 300).orderBy("row_key").collect()
+    assert [r["coefficients"] for r in other] == [r["coefficients"] for r in local]
+
+
+def test_kept_columns_are_carried(table, spark):
+    df, x = table
+    bins = lime.QuartileBins.fit(df, FEATURES)
+    drawn = lime.draw_bins(bins, 50)
+    f = lime.score_samples(spark, bins, drawn, model().score, 2)
+    big = df.withColumns({"n": (F.col("row_key") + 2 ** 60).cast("bigint"), "gap": F.when(F.col("row_key") > 3, 1)})
+    got = lime.lime_explain(model().score(big), bins, drawn, f, 2, keep=["n", "gap", "a"]).orderBy("row_key").collect()
+    assert [(r["n"], r["gap"], r["a"]) for r in got] == [(2 ** 60 + i, 1 if i > 3 else None, x[i, 0]) for i in range(30)]
+    assert lime.lime_explain(model().score(big.limit(0)), bins, drawn, f, 2, keep=["n"]).collect() == []
