@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.fixed_values import MAX_CHARS
 from glosswork.functions.text import is_empty_review, json_slice, prompt, prompt_header, review_text
 from glosswork.operators import coding
+from glosswork.operators.calls import CallLimits
 from glosswork.operators.evaluate import status_counts
 from glosswork.plans.registry import part, query
 from glosswork.session import materialize, scratch_path
+from glosswork.sources.sinks import write_quoted_csv
 from glosswork.sources.tables import THEMES, coded_documents, recorded_answers, table, theme_flags
-from glosswork.streaming.theme_stream import read_stream, run_theme_stream
+from glosswork.streaming.theme_stream import read_stream, run_answer_stream, run_theme_stream
 
 # some rows lack a title, some a text, some both
 _GAPS_SQL = """select row_key, case when row_key % 5 = 0 then null else title end as title,
@@ -141,3 +147,45 @@ def stream_theme_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("row_key"), F.col("source").alias("title"), F.col("text").alias("review_text"))
     coded = run_theme_stream(stream, _codebook, scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-log"))
     return coded.select("row_key", "status", *THEMES)
+
+
+@query("stream_csv_coding", _CODEBOOK_SQL)
+def stream_csv_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from quoted CSV files."""
+    folder = scratch_path(spark, "stream-csv")
+    rows = coded_documents(spark, sf_dir, with_text=True).select("row_key", "title", "review_text")
+    write_quoted_csv(rows, folder)
+    stream = read_stream(spark, folder, rows.schema, file_format="csv", files_per_batch=4)
+    coded = run_theme_stream(stream, _codebook, scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-log"))
+    return coded.select("row_key", "status", *THEMES)
+
+
+def _lengths_model() -> Callable[[str], str]:
+    """A service that answers from the length of a request, and fails when it gets every seventh for the first time."""
+    failed = set()
+
+    def ask(request: str) -> str:
+        if zlib.crc32(request.encode()) % 7 == 0 and request not in failed:
+            failed.add(request)
+            raise ConnectionError("busy")
+        return json.dumps({n: int(len(request) % (i + 2) == 0) for i, n in enumerate(THEMES)})
+    return ask
+
+
+_LENGTHS_HEADER_SQL = prompt_header({n: n for n in THEMES}).replace("'", "''")
+
+
+@query("stream_answers", f"""
+select row_key, case when empty then 'empty' else 'ok' end as status, case when empty then 0 else 1 end as rounds,
+  {", ".join(f"case when not empty and length(request) % {i + 2} = 0 then 1 else 0 end as {n}" for i, n in enumerate(THEMES))}
+from (select row_key, whole in ('', 'Title:  | Review:') as empty,
+  regexp_replace('{_LENGTHS_HEADER_SQL}' || whole, '^{_SPACE}+|{_SPACE}+$', '', 'g') as request from labelled_texts)""")
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document files as a stream whose themes a failing service is asked for; what was asked is kept by key."""
+    schema, key = table(spark, sf_dir, "documents").schema, F.col("doc_id")
+    stream = read_stream(spark, sf_dir, schema, "documents.parquet").select(
+        key.alias("row_key"), F.when(key % 5 != 0, F.col("source")).alias("title"),
+        F.when(key % 3 != 0, F.col("text")).alias("review_text"))
+    coded = run_answer_stream(stream, _lengths_model, scratch_path(spark, "answer-sink"), scratch_path(spark, "answer-log"),
+                              themes={n: n for n in THEMES}, limits=CallLimits(tries=2, pause=0.01), buckets=64)
+    return coded.select("row_key", "status", "rounds", *THEMES)

@@ -1,7 +1,11 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork.operators import coding
+from glosswork.operators.calls import CallLimits
 from glosswork.session import ship_by_value
 from glosswork.streaming import theme_stream as ts
 
@@ -49,6 +53,21 @@ def test_function_labeller(reviews):
     assert {r["row_key"]: r["error_text"] for r in coded.collect()} == {0: None, 1: None, 2: "TimeoutError: no answer", 3: None}
 
 
+def test_labeller_asks_again(spark, reviews):
+    def connect():
+        calls = []
+
+        async def ask(prompt):
+            calls.append(prompt)
+            if calls.count(prompt) < 2:
+                raise ConnectionError("busy")
+            return '{"T1_A": 1}'
+        return ask
+
+    got = coding.code_themes(reviews.coalesce(1), coding.function_labeller(connect, CallLimits(pause=0.01)), THEMES)
+    assert result(got) == {0: ("ok", 1, 0, None), 1: ("empty", 0, 0, None), 2: ("ok", 1, 0, None), 3: ("ok", 1, 0, None)}
+
+
 def test_no_call_without_a_text(spark, reviews):
     calls = spark.sparkContext.accumulator(0)
 
@@ -128,3 +147,110 @@ def test_stream_restart(spark, make, tmp_path):
 
 def test_no_sink_yet(spark, tmp_path):
     assert ts.coded_rows(spark, str(tmp_path / "none")) is None
+
+
+REVIEWS = "row_key bigint, title string, review_text string"
+
+
+def files(make, folder, *starts, rows=10):
+    for start in starts:
+        made = [(i, None if i % 10 == 9 else "t", None if i % 10 == 9 else f"red {i}") for i in range(start, start + rows)]
+        make(made, REVIEWS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_seen_keys_are_in_the_state(spark, make, tmp_path):
+    """A later run doesn't need the sink to know what came before, and its batches read as much as the first."""
+    folder, log = str(tmp_path / "in"), str(tmp_path / "log")
+    code = lambda rows: coding.code_themes(rows, coding.codebook_labeller(flags), THEMES)
+    read = lambda: ts.read_stream(spark, folder, make([], REVIEWS).schema, files_per_batch=1)
+    files(make, folder, 0, 5)
+    first = ts.run_theme_stream(read(), code, str(tmp_path / "a"), log)
+    files(make, folder, 10, 12)
+    query = ts.start_theme_stream(read(), code, str(tmp_path / "b"), log)
+    query.awaitTermination()
+    second = spark.read.parquet(str(tmp_path / "b"))
+    keys = lambda df: sorted(r["row_key"] for r in df.collect())
+    assert keys(first) == list(range(15)) and keys(second) == list(range(15, 22))
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [10, 10]
+    assert batches[-1]["stateOperators"][0]["numRowsTotal"] == 22
+
+
+def test_keys_of_a_span(spark, make, tmp_path):
+    folder, schema = str(tmp_path / "in"), "row_key bigint, at timestamp, title string, review_text string"
+    for keys, day in (([1, 2], 1), ([2, 3], 2), ([9], 20), ([8], 21), ([1, 3], 22)):
+        rows = spark.createDataFrame([(k, f"2024-01-{day:02d} 00:00:00") for k in keys], "row_key bigint, day string")
+        rows.select("row_key", F.to_timestamp("day").alias("at"), F.lit("t").alias("title"), F.lit("x").alias("review_text")).coalesce(
+            1).write.mode("append").parquet(folder)
+        time.sleep(1.1)     # files are taken by their times
+    read = ts.read_stream(spark, folder, make([], schema).schema, files_per_batch=1)
+    code = lambda rows: coding.code_themes(rows, coding.codebook_labeller(flags), THEMES)
+    done = ts.run_theme_stream(read, code, str(tmp_path / "sink"), str(tmp_path / "log"), remember=("at", "5 days"))
+    assert sorted(r["row_key"] for r in done.collect()) == [1, 1, 2, 3, 3, 8, 9]
+
+
+def test_csv_stream(spark, make, tmp_path):
+    from glosswork.sources.sinks import write_quoted_csv
+    folder = str(tmp_path / "in")
+    made = [(0, 'a "quoted", title', "red\nline 7"), (1, "t", "blue")]
+    write_quoted_csv(make(made, REVIEWS).coalesce(1), folder)
+    code = lambda rows: rows.select("row_key", "title", "review_text")
+    read = lambda: ts.read_stream(spark, folder, make([], REVIEWS).schema, file_format="csv")
+    got = ts.run_theme_stream(read(), code, str(tmp_path / "sink"), str(tmp_path / "log"))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == made
+    write_quoted_csv(make(made, REVIEWS).select("title", "row_key", "review_text").coalesce(1), folder, "append")
+    with pytest.raises(Exception, match="(?i)header"):
+        ts.run_theme_stream(read(), code, str(tmp_path / "sink"), str(tmp_path / "log"))
+
+
+def service(folder):
+    """A client that notes every call, answers even rows at once and odd ones when the service is up."""
+    def connect():
+        def ask(prompt):
+            number = int(prompt.split("red ")[1])
+            with open(f"{folder}/calls", "a") as f:
+                f.write(f"{number}\n")
+            if number % 2 and not os.path.exists(f"{folder}/up"):
+                raise ConnectionError("down")
+            return '{"T1_A": %d}' % (number % 4 == 0)
+        return ask
+    return connect
+
+
+def test_stream_asks_again(spark, make, tmp_path):
+    folder, sink, log = (str(tmp_path / n) for n in ("in", "sink", "log"))
+    options = dict(themes={t: t for t in THEMES}, limits=CallLimits(tries=1), wait_seconds=0.0, buckets=8, rounds=3)
+    read = lambda: ts.read_stream(spark, folder, make([], REVIEWS).schema, files_per_batch=1)
+    calls = lambda: sorted(map(int, (tmp_path / "calls").read_text().split()))
+    files(make, folder, 0)
+    got = result(ts.run_answer_stream(read(), service(tmp_path), sink, log, **options).drop("batch_id"))
+    want = {i: ("ok", int(i % 4 == 0), 0, None, 1) for i in range(0, 10, 2)} | {9: ("empty", 0, 0, None, 0)}
+    assert {k: v for k, v in got.items() if v[0] != "error"} == want
+    (tmp_path / "up").touch()
+    files(make, folder, 5)      # repeats five keys
+    got = ts.run_answer_stream(read(), service(tmp_path), sink, log, **options).drop("batch_id")
+    rows = result(got)
+    assert got.count() == len(rows) == 15
+    assert {k: v[0] for k, v in rows.items()} == {i: "empty" if i == 9 else "ok" for i in range(15)}
+    assert {k: v[4] for k, v in rows.items() if k % 2 and k < 9}.keys() == {1, 3, 5, 7} and all(rows[k][4] >= 2 for k in (1, 3, 5, 7))
+    assert [n for n in calls() if n % 2 == 0] == [0, 2, 4, 6, 8, 10, 12, 14]     # nothing is asked again that has an answer
+
+
+def test_timers_of_a_running_stream(spark, make, tmp_path):
+    """Without new files the timers fire; after the last round a row is given with its reason."""
+    folder, sink, log = (str(tmp_path / n) for n in ("in", "sink", "log"))
+    files(make, folder, 0)
+    read = ts.read_stream(spark, folder, make([], REVIEWS).schema)
+    query = ts.start_answer_stream(read, service(tmp_path), sink, log, {t: t for t in THEMES}, every="1 second",
+                                   limits=CallLimits(tries=1), wait_seconds=0.5, buckets=8, rounds=2)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            done = ts.coded_rows(spark, sink)
+            if done is not None and done.count() == 10:
+                break
+    finally:
+        query.stop()
+    got = result(ts.coded_rows(spark, sink).drop("batch_id"))
+    assert {k: v[0] for k, v in got.items()} == {i: "empty" if i == 9 else "error" if i % 2 else "ok" for i in range(10)}
+    assert got[3] == ("error", 0, 0, "ConnectionError: down", 2)
