@@ -38,7 +38,9 @@ def _rank_cut(hashed: DataFrame, rank: int) -> str:
                 prefix, size = row["p"], row["n"]
                 break
             below += row["n"]
-        if size <= _FEW or width >= 32:
+        if width >= 32:     # one hash, however many rows repeat its key
+            return prefix
+        if size <= _FEW:
             rows = (hashed.where(F.col("_hash").startswith(prefix))
                     .select("_hash").orderBy("_hash").limit(rank - below).collect())
             return rows[-1]["_hash"]

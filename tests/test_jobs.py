@@ -143,6 +143,8 @@ def test_lime_job(spark, review_file, tmp_path):
     assert set(best.values()) == {"llm_mood"}
     row = spark.read.parquet(f"{out}/distribution").first()
     assert abs(row["share_lt_3"] + row["share_3_to_4"] + row["share_ge_4"] - 1) < 1e-9
+    drawn = jobs.lime_job(spark, review_file, str(tmp_path / "o1"), positions=[10], config=config, samples=400, perturb="normal", **QUICK)
+    assert drawn.where("position = 1").first()["feature"] == "llm_mood" and drawn.count() == lines.where("row_key = 10").count()
     with pytest.raises(ValueError, match="out of range"):
         jobs.lime_job(spark, review_file, str(tmp_path / "o2"), positions=[999], config=config, **QUICK)
 
