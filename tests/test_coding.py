@@ -203,6 +203,17 @@ def test_csv_stream(spark, make, tmp_path):
         ts.run_theme_stream(read(), code, str(tmp_path / "sink"), str(tmp_path / "log"))
 
 
+@pytest.mark.parametrize("query", ["stream_theme_coding", "stream_answers"])
+def test_streams_read_a_table_of_many_files(spark, sf, tmp_path, query):
+    """documents as a folder of part files, as Spark writes it, beside other tables: the same rows as from one file."""
+    from glosswork.plans import catalog
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = lambda folder: sorted(map(tuple, catalog.queries()[query](spark, folder).collect()))
+    whole = rows(sf)
+    assert len(whole) == spark.read.parquet(f"{sf}/documents.parquet").count() and rows(str(tmp_path)) == whole
+
+
 def service(folder):
     """A client that notes every call, answers even rows at once and odd ones when the service is up."""
     def connect():
