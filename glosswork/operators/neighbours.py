@@ -4,13 +4,15 @@ Two numbers are compared by the first estimator of Kraskov, Stögbauer and Grass
 Ross (2014). Both need, for each row, the distance to its k-th neighbour (the greater of the two differences) and then how many
 rows are nearer than that in one dimension.
 
-Neighbours: the rows are cut into slabs by x, each searched by one task. A row whose distance reaches beyond its slab also
-visits those other slabs that can hold something nearer. Counts: the ends of each row's interval are sorted among the values,
-tasks number what they hold, and the numbers of the tasks before are added. Nothing compares all rows with each other.
+Neighbours: the rows are cut into slabs by x, each searched by one task, which halves it into small boxes. A row whose distance
+reaches beyond its slab also visits those other slabs that can hold something nearer. Counts: the ends of each row's interval are
+sorted among the values, tasks number what they hold, and the numbers of the tasks before are added. Nothing compares all rows
+with each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
@@ -28,7 +30,8 @@ NEIGHBOURS = 3
 SLAB = 1 << 16
 #: Half the width of what is added to a number so that equal ones differ, as a part of it (of 1, if it is less).
 _BLUR = 1e-10
-_FEW = 16
+#: Points that are compared one by one, rows that are asked for at a time, and boxes these may have to look at.
+_LEAF, _ASKED, _PAIRS = 16, 4096, 1 << 20
 _INF = float("inf")
 _EULER = 0.5772156649015329
 _GROUP = ["feature", "class"]
@@ -45,35 +48,107 @@ def digamma(n: Column) -> Column:
 
 # ---- distances to the k-th neighbour ------------------------------------------------------------------------
 
+def _highest(v: np.ndarray) -> np.ndarray:
+    return np.where(v < _INF, v, -_INF).max(axis=1)
+
+
+def _boxes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least and greatest x and y of each row of points, ``(4, rows)``; what is infinite only fills up."""
+    return np.stack([x.min(axis=1), _highest(x), y.min(axis=1), _highest(y)])
+
+
+def _halved(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The points cut at the median of the wider side, again and again until at most ``_LEAF`` are together: their places
+    ``(leaves, points)``, filled up with -1, and the boxes around them, from the one around all to those of the leaves."""
+    cuts = max(0, math.ceil(math.log2(len(x) / _LEAF)))
+    places = np.full((1, -(-len(x) >> cuts) << cuts), -1)
+    places[0, :len(x)] = np.arange(len(x))
+    x, y = np.append(x, _INF), np.append(y, _INF)
+    for _ in range(cuts):
+        px, py = x[places], y[places]
+        left, right, low, high = _boxes(px, py)
+        half = places.shape[1] // 2
+        cut = np.argpartition(np.where((right - left >= high - low)[:, None], px, py), half, axis=1)
+        places = np.take_along_axis(places, cut, axis=1).reshape(-1, half)
+    boxes = [_boxes(x[places], y[places])]
+    for _ in range(cuts):
+        pairs = boxes[0].reshape(4, -1, 2)
+        low, high = pairs.min(axis=2), pairs.max(axis=2)
+        boxes.insert(0, np.stack([low[0], high[1], low[2], high[3]]))
+    return places, boxes
+
+
+def _gap(boxes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far each box is from a point, less than nothing inside."""
+    return np.maximum(np.maximum(boxes[0] - x, x - boxes[1]), np.maximum(boxes[2] - y, y - boxes[3]))
+
+
 def nearest(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray, k: np.ndarray, limit: np.ndarray,
             own: np.ndarray | None = None) -> np.ndarray:
-    """For each q the k least distances to the points p, which are in the order of x: one row each, filled up with infinity.
-    What is not below ``limit`` may be missing. With ``own``, the places of the q among the p, these are left out."""
-    left = (np.searchsorted(px, qx) if own is None else own) - 1
-    right = left + (1 if own is None else 2)
+    """For each q the k least distances to the points p: one row each, filled up with infinity. What is not below ``limit`` may
+    be missing. With ``own``, the places of the q among the p, these are left out.
+
+    The points are halved into leaves with boxes around them. A q looks at one leaf near it, then at the others, nearest box
+    first, until no box is nearer than what it has; so it meets few points, however many the slab holds beside it."""
     best = np.full((len(qx), int(k.max())), _INF)
-    rows = np.arange(len(qx))
-    while rows.size > _FEW:
-        before, after = left[rows], right[rows]
-        down = np.where(before >= 0, qx[rows] - px[np.maximum(before, 0)], _INF)
-        up = np.where(after < len(px), px[np.minimum(after, len(px) - 1)] - qx[rows], _INF)
-        on = np.minimum(down, up) < np.minimum(best[rows, k[rows] - 1], limit[rows])
-        rows, before, after, down, up = rows[on], before[on], after[on], down[on], up[on]
-        down = np.maximum(down, np.abs(py[np.maximum(before, 0)] - qy[rows]))
-        up = np.maximum(up, np.abs(py[np.minimum(after, len(px) - 1)] - qy[rows]))
-        best[rows] = np.sort(np.column_stack([best[rows], down, up]), axis=1)[:, :best.shape[1]]
-        left[rows] -= 1
-        right[rows] += 1
-    for row in rows:  # the last ones look far; they look at everything
-        apart = np.maximum(np.abs(px - qx[row]), np.abs(py - qy[row]))
-        if own is not None:
-            apart[own[row]] = _INF
-        found = np.sort(np.partition(apart, best.shape[1] - 1)[:best.shape[1]] if len(apart) > best.shape[1] else apart)
-        best[row] = _INF
-        best[row, :len(found)] = found
+    if not len(px):
+        return best
+    with np.errstate(over="ignore", invalid="ignore"):
+        places, boxes = _halved(px, py)
+        x, y = np.append(px, _INF)[places], np.append(py, _INF)[places]
+        todo = [np.arange(at, min(at + _ASKED, len(qx))) for at in range(0, len(qx), _ASKED)]
+        while todo:
+            rows = todo.pop()
+            found = _search(places, x, y, boxes, qx[rows], qy[rows], k[rows], limit[rows], None if own is None else own[rows], best.shape[1])
+            if found is None:
+                todo += np.array_split(rows, 2)
+            else:
+                best[rows] = found
     return best
 
 
+def _search(places: np.ndarray, px: np.ndarray, py: np.ndarray, boxes: list[np.ndarray], x: np.ndarray, y: np.ndarray,
+            k: np.ndarray, limit: np.ndarray, own: np.ndarray | None, width: int) -> np.ndarray | None:
+    """The distances for some q; None if they have more than ``_PAIRS`` boxes to look at, and are more than one."""
+    every = np.arange(len(x))
+    found, reach = np.full((len(x), width), _INF), limit.copy()
+
+    def look(who: np.ndarray, leaf: np.ndarray) -> None:
+        apart = np.maximum(np.abs(px[leaf] - x[who, None]), np.abs(py[leaf] - y[who, None]))
+        if own is not None:
+            apart[places[leaf] == own[who, None]] = _INF
+        both = np.concatenate([found[who], apart], axis=1)
+        both.partition(width - 1, axis=1)
+        found[who] = both = np.sort(both[:, :width], axis=1)
+        reach[who] = np.minimum(both[np.arange(len(who)), k[who] - 1], limit[who])
+
+    first = np.zeros(len(x), np.int64)
+    for level in boxes[1:]:
+        first = 2 * first + (_gap(level[:, 2 * first + 1], x, y) < _gap(level[:, 2 * first], x, y))
+    look(every, first)
+
+    who, box, gap = every, np.zeros(len(x), np.int64), _gap(boxes[0], x, y)
+    for level in boxes[1:]:
+        who, box = np.repeat(who, 2), np.stack([2 * box, 2 * box + 1], axis=1).ravel()
+        gap = _gap(level[:, box], x[who], y[who])
+        on = gap < reach[who]
+        who, box, gap = who[on], box[on], gap[on]
+        if len(who) > _PAIRS and len(x) > 1:
+            return None
+    on = box != first[who]
+    who, box, gap = who[on], box[on], gap[on]
+    order = np.lexsort((gap, who))
+    who, box, gap = who[order], box[order], gap[order]
+    at, end = np.searchsorted(who, every), np.searchsorted(who, every, side="right")
+    rows = every[at < end]
+    while rows.size:
+        rows = rows[gap[at[rows]] < reach[rows]]
+        look(rows, box[at[rows]])
+        at[rows] += 1
+        rows = rows[at[rows] < end[rows]]
+    return found
+
+
 def _numbers(table: pa.Table, name: str, kind: str = "float64") -> np.ndarray:
     return table.column(name).to_numpy().astype(kind)
 
@@ -130,8 +205,7 @@ def kth_distance(points: DataFrame, rows: int, slab: int = SLAB) -> DataFrame:
     def visit(hosts: pa.Table, came: pa.Table) -> pa.Table:
         if hosts.num_rows and came.num_rows:
             px, py = _numbers(hosts, "x"), _numbers(hosts, "y")
-            by_x = np.argsort(px, kind="stable")
-            best = nearest(px[by_x], py[by_x], _numbers(came, "x"), _numbers(came, "y"), _numbers(came, "k", "int64"), _numbers(came, "reach"))
+            best = nearest(px, py, _numbers(came, "x"), _numbers(came, "y"), _numbers(came, "k", "int64"), _numbers(came, "reach"))
             return came.select([*_GROUP, "id"]).append_column("near", _lists(best))
         return came.select([*_GROUP, "id"]).slice(0, 0).append_column("near", pa.array([], pa.list_(pa.float64())))
 

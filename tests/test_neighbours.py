@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -111,6 +112,36 @@ def test_nearest_in_a_slab(n, k, seed):
     assert np.array_equal(got, want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 200), st.integers(1, 60), st.integers(0, 1000), st.sampled_from([1, 3, 16]), st.sampled_from([20, 1 << 20]))
+def test_nearest_for_guests(n, m, seed, leaf, pairs):
+    """Rows that are not among the points, each with a k and a limit of its own."""
+    rng = np.random.default_rng(seed)
+    draw = [rng.standard_normal, lambda size: rng.integers(0, 9, size) / 2, lambda size: rng.pareto(0.4, size), np.zeros]
+    (px, qx), (py, qy) = ((f(n), f(m)) for f in (draw[seed % 4], draw[seed // 4 % 4]))
+    k, limit = rng.integers(1, 4, m), np.where(rng.random(m) < 0.3, np.inf, rng.random(m))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(nb, "_LEAF", leaf)
+        patch.setattr(nb, "_PAIRS", pairs)
+        got = nb.nearest(px, py, qx, qy, k, limit)
+    apart = np.sort(np.maximum(np.abs(px - qx[:, None]), np.abs(py - qy[:, None])), axis=1)
+    for found, want, some, below in zip(got, apart, k, limit):
+        assert np.array_equal(found[:some][found[:some] < below], want[:some][want[:some] < below])
+
+
+def test_a_flag_costs_no_more_than_other_numbers():
+    """A flag against five ratings: within any small distance in x are rows of all ratings, the more the more rows there are."""
+    rng = np.random.default_rng(1)
+    n = 1 << 16
+    x = np.sort(1e-10 * rng.random(4 * n))[:n]  # the first slab of four
+    y = rng.integers(1, 6, n) + 1e-10 * (rng.random(n) - 0.5)
+    began = time.process_time()
+    got = nb.nearest(x, y, x, y, np.full(n, 3), np.full(n, np.inf), np.arange(n))
+    assert time.process_time() - began < 3
+    for row in range(0, n, 9973):
+        assert np.array_equal(got[row], np.sort(np.maximum(np.abs(x - x[row]), np.abs(y - y[row])))[1:4])
+
+
 def test_digamma(spark):
     rows = spark.range(1, 200).select("id", nb.digamma(F.col("id")).alias("psi")).collect()
     assert all(abs(r["psi"] - psi(r["id"])) < 1e-13 for r in rows)
