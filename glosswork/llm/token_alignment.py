@@ -7,7 +7,8 @@ between the ends that it holds, and the places where both sides end; stitched to
 into groups, also where a group spans several pieces.
 
 How often an id pair is linked is counted over all documents. Documents are taken in blocks of bounded size, which hold each
-pair once; counts are added and joined back per block and pair, so a pair of every document comes once per block.
+pair once; counts are added and joined back per block and pair, so a pair of every document comes once per block. A block's
+links are a table of documents by pairs, of which the cells that are not zero are kept; one block meets its counts at a time.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from glosswork.llm.common import materialize, ship_by_value, text_of, texts_in
 from glosswork.llm.vocab import ByteCoder
 
-#: Characters of text that are aligned at a time, and those after which a block ends.
-SLICE, BLOCK = 1 << 18, 1 << 22
+#: Characters of text that are aligned at a time, and those after which a block ends: its row stays well below a megabyte.
+SLICE, BLOCK = 1 << 18, 1 << 20
+#: Texts that are Python strings at a time.
+_TEXTS = 64
 #: Ends that one piece of a merge takes.
 WORK = 1 << 16
 #: Chunks whose tokens are remembered in a task; then the memory is emptied.
@@ -256,10 +259,8 @@ class _Block:
         none = np.zeros(0, np.int64)
         links = [np.concatenate(d.links) if d.whole and d.links else none for d in self.documents]
         sizes, links = [len(x) for x in links], np.concatenate([none, *links])
-        pairs = np.sort(links)
-        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-        places = np.searchsorted(pairs, links)
-        counts = np.bincount(places, minlength=len(pairs))
+        pairs, places, counts = np.unique(links, return_inverse=True, return_counts=True)
+        cells, times = np.unique(np.repeat(np.arange(len(sizes)) * len(pairs), sizes) + places, return_counts=True)
         whole = [d.whole for d in self.documents]
         numbers = [[getattr(d, name) if w else 0 for d, w in zip(self.documents, whole)] for name in ("a", "b", "groups")]
         rows = pa.StructArray.from_arrays([
@@ -269,19 +270,29 @@ class _Block:
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), one(pa.array(pairs, pa.int64())), one(pa.array(counts, pa.int64())), one(rows),
-            pa.array([places.astype(_kind(len(pairs))).tobytes()], pa.binary())], ["block", "pairs", "counts", "documents", "links"])
+            pa.array([len(cells)], pa.int64()), *[pa.array([packed(x)], pa.binary()) for x in (np.diff(cells, prepend=0), times)]],
+            ["block", "pairs", "counts", "documents", "n_cells", "gaps", "times"])
 
 
-def _kind(pairs: int) -> str:
-    """How places in a list of so many pairs are written."""
-    return "<u2" if pairs <= 1 << 16 else "<u4"
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes as the greatest needs: the lowest byte of each, then the next of each, which are mostly zero."""
+    kind = np.min_scalar_type(values.max(initial=0)).newbyteorder("<")
+    return values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, np.int64)
+    width = len(data) // count
+    return np.frombuffer(data, np.uint8).reshape(width, count).T.copy().view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _blocks(byte_path: str, piece_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders, writer, block, kind = Coders(byte_path, piece_path), None, None, None
         writer, number = Writer(max(len(coders.a_sizes), len(coders.b_sizes))), TaskContext.get().partitionId() << 32
-        for batch, texts in texts_in(batches, "text"):
+        parts = (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS))
+        for batch, texts in texts_in(parts, "text"):
             kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), texts):
                 block = block or _Block(coders, writer)
@@ -298,17 +309,20 @@ def _blocks(byte_path: str, piece_path: str, size: int):
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document: how many links are their B id's best, and the sum of the links' counts."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            documents = batch.column(0).slice(row, 1).flatten()
-            totals, best = (batch.column(k).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
-            places = np.frombuffer(batch.column(1)[row].as_py(), _kind(len(totals)))
-            ends = np.append(0, np.cumsum(documents.field(4).to_numpy(zero_copy_only=False)))
-            sums = [np.diff(np.append(0, np.cumsum(values[places].astype(np.int64)))[ends]) for values in (best, totals)]
-            yield pa.RecordBatch.from_arrays([*[documents.field(k) for k in range(5)], *[pa.array(x, pa.int64()) for x in sums],
-                                              documents.field(5)], ["id", *_COUNTS, "groups_sha256"])
+def _sums(block: pa.Table, numbers: pa.Table) -> pa.Table:
+    """A row per document of a block: how many links are their B id's best, and the sum of the links' counts."""
+    documents, n_cells, gaps, times = (block.column(name).combine_chunks() for name in ("documents", "n_cells", "gaps", "times"))
+    documents, n_cells = documents.flatten(), n_cells[0].as_py()
+    cells, times = np.cumsum(unpacked(gaps[0].as_py(), n_cells)), unpacked(times[0].as_py(), n_cells)
+    width = max(1, numbers.num_rows)
+    ends = np.searchsorted(cells, np.arange(len(documents) + 1) * width)
+    place, sums = numbers.column("place").to_numpy(), []
+    for name in ("best", "total"):
+        of_place = np.zeros(width, np.int64)
+        of_place[place] = numbers.column(name).to_numpy()
+        sums.append(np.diff(np.append(0, np.cumsum(of_place[cells % width] * times))[ends]))
+    return pa.table([*[documents.field(k) for k in range(5)], *[pa.array(x, pa.int64()) for x in sums], documents.field(5)],
+                    ["id", *_COUNTS, "groups_sha256"])
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -326,18 +340,16 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     kind = wanted.schema["id"].dataType.simpleString()
     blocks = materialize(wanted.mapInArrow(_blocks(byte_path, piece_path, block), (
         f"block long, pairs array<long>, counts array<long>, documents array<struct<id: {kind}, n_a: long, n_b: long, "
-        "n_groups: long, n_links: long, groups_sha256: string>>, links binary")), "aligned")
+        "n_groups: long, n_links: long, groups_sha256: string>>, n_cells long, gaps binary, times binary")), "aligned")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select(
         "block", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     totals = materialize(listed.groupBy("pair").agg(F.sum("n").alias("total")).withColumn(
         "b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))), "pair_totals")
     judged = totals.join(totals.groupBy("b").agg(F.max("total").alias("most")), "b").select(
         "pair", "total", (F.col("total") == F.col("most")).alias("best"))
-    numbers = listed.join(judged, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "total", "best"))).alias("x"))
-    held = blocks.select("block", "documents", "links").join(numbers, "block", "left").select(
-        "documents", "links", *[F.coalesce(F.col("x")[name], F.array().cast(t)).alias(name) for name, t in (
-            ("total", "array<long>"), ("best", "array<boolean>"))])
-    return held.mapInArrow(_sums, f"id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string")
+    numbers = listed.join(judged, "pair").select(F.col("block").alias("of"), "place", "total", "best").groupBy("of")
+    held = blocks.select("block", "documents", "n_cells", "gaps", "times").groupBy("block")
+    return held.cogroup(numbers).applyInArrow(_sums, f"id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string")
 
 
 ship_by_value(__name__)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -131,3 +132,31 @@ def test_pieces_have_equal_work_and_stitch_to_one_merge():
 
 def test_empty_table(spark):
     assert ta.align(spark.createDataFrame([], "doc_id long, text string"), A_PATH, B_PATH).count() == 0
+
+
+def test_numbers_in_few_bytes():
+    for values in ([], [0], [0, 255], [256, 1, 0], [1 << 31, 5], [1 << 40, 0, 7]):
+        held = ta.packed(np.array(values, np.int64))
+        assert ta.unpacked(held, len(values)).tolist() == values
+    assert len(ta.packed(np.array([255] * 100))) == 100
+
+
+def test_what_a_task_holds_is_small_whatever_it_reads(monkeypatch):
+    """A row of a block is below a megabyte, and few texts of a batch are Python strings at a time."""
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 3)
+    draw, most, real = random.Random(6), [], ta.texts_in
+    words = ["".join(draw.choice("abcdeéß") for _ in range(draw.randrange(1, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=1200)) for _ in range(600)]
+
+    def texts_in(batches, column):
+        for batch, found in real(batches, column):
+            most.append(len(found))
+            yield batch, found
+    monkeypatch.setattr(ta, "TaskContext", Context)
+    monkeypatch.setattr(ta, "texts_in", texts_in)
+    batch = pa.record_batch({"id": list(range(600)), "text": texts})
+    blocks = list(ta._blocks(A_PATH, B_PATH, ta.BLOCK)(iter([batch])))
+    assert [d["id"] for b in blocks for d in b.column("documents")[0].as_py()] == list(range(600))
+    assert len(blocks) > 2 and max(b.nbytes for b in blocks) < 1 << 20 and sum(most) == 600 and max(most) <= 64
